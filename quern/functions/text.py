@@ -1,4 +1,4 @@
-"""Column functions on text: pre-tokens, special tokens, byte brackets. All run in the JVM."""
+"""Column functions on text: pre-tokens, special tokens, bytes as symbols. All run in the JVM."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 PRETOKEN_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END_OF_TEXT = "<|endoftext|>"
 
+#: Stands between pre-tokens in a string of symbols; no id has this character.
+SEPARATOR = chr(0x10FFFE)
+
 
 def pretokens(text: Column) -> Column:
     """Pre-tokens of a text, in order. ``(?U)`` makes the classes those of Unicode."""
@@ -42,15 +45,26 @@ def split_specials(text: Column, specials: Sequence[str], keep: bool = False) ->
     return F.filter(woven, lambda p: p.isNotNull() & (p != ""))
 
 
-def byte_brackets(word: Column) -> Column:
-    """UTF-8 bytes of a string as ``<68><65>``: one bracket for each symbol."""
-    return F.regexp_replace(F.hex(F.encode(word, "UTF-8")), "(..)", "<$1>")
+def byte_symbols(word: Column) -> Column:
+    """UTF-8 bytes of a string as one character each: byte b is U+00b."""
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def symbol(i: int) -> str:
+    """The character that stands for a token id; the surrogates' range is left out."""
+    return chr(i if i < 0xD800 else i + 0x800)
+
+
+def symbol_id(character: str) -> int:
+    """The id that a character stands for."""
+    code = ord(character)
+    return code if code < 0xD800 else code - 0x800
 
 
-def bracket_symbols(brackets: Column) -> Column:
-    """``<68><65>`` as an array of symbols; an empty string has none."""
-    inner = F.split(F.substring(brackets, F.lit(2), F.length(brackets) - 2), "><")
-    return F.when(brackets == "", F.array().cast("array<string>")).otherwise(inner)
+def symbol_ids(symbols: Column) -> Column:
+    """Ids of a string of symbols, in order."""
+    code = lambda c: F.when(F.ascii(c) < 0xD800, F.ascii(c)).otherwise(F.ascii(c) - 0x800)
+    return F.when(symbols == "", F.array().cast("array<int>")).otherwise(F.transform(F.split(symbols, ""), code))
 
 
 def strip_newlines(text: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import byte_brackets, bracket_symbols, longest_first, pretokens, split_specials
+from quern.functions.text import SEPARATOR, byte_symbols, longest_first, pretokens, split_specials, symbol_ids
 from quern.operators.train import Tokenizer, apply_merges
 
 #: Merge lists up to this length are applied as one JVM expression.
@@ -44,19 +44,17 @@ def usable_ranks(tokenizer: Tokenizer) -> dict[tuple[bytes, bytes], int]:
     return {p: k for k, p in enumerate(tokenizer.merges) if p[0] + p[1] in known}
 
 
-def token_brackets(text: Column, tokenizer: Tokenizer) -> Column:
-    """Bracketed symbols of each pre-token of a text, for merges learned here, without a shuffle."""
+def token_symbols(text: Column, tokenizer: Tokenizer) -> Column:
+    """The tokens of a text as a string of symbols, for merges learned here, without a shuffle."""
     if tokenizer.pairs is None or len(tokenizer.pairs) > FOLD_LIMIT:
         raise ValueError("only a short list of merges learned here folds into one expression")
-    marked = F.array_join(F.transform(pretokens(text), byte_brackets), "|")
-    return apply_merges(marked, tokenizer.pairs)
+    marked = F.array_join(F.transform(pretokens(text), byte_symbols), SEPARATOR)
+    return F.replace(apply_merges(marked, tokenizer.pairs), F.lit(SEPARATOR), F.lit(""))
 
 
-def hex_brackets(brackets: Column, tokenizer: Tokenizer) -> Column:
-    """Bracketed ids as brackets of the tokens' bytes in hex."""
-    for _, _, new in tokenizer.pairs or []:
-        brackets = F.replace(brackets, F.lit(f"<m{new}>"), F.lit(f"<{tokenizer.vocab[new].hex().upper()}>"))
-    return brackets
+def held(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """``df`` with a column that is computed once, however often later expressions name it."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -67,14 +65,13 @@ def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     found for a pre-token. Special tokens of the tokenizer stand for themselves.
     """
     if tokenizer.pairs is not None and len(tokenizer.pairs) <= FOLD_LIMIT and not tokenizer.specials:
-        flat = F.replace(token_brackets(F.col("text"), tokenizer), F.lit("|"), F.lit(""))
-        number = lambda s: F.when(s.startswith("m"), F.substring(s, F.lit(2), F.length(s) - 1)).otherwise(F.conv(s, 16, 10)).cast("int")
-        return docs.withColumn("ids", F.transform(bracket_symbols(flat), number))
+        marked = held(docs, "_symbols", token_symbols(F.col("text"), tokenizer))
+        return marked.withColumn("ids", symbol_ids(F.col("_symbols"))).drop("_symbols")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = docs.columns
     specials = longest_first(tokenizer.specials)
     pieces = F.transform(split_specials(F.col("text"), specials, keep=True), lambda p: F.when(p.isin(specials) if specials else F.lit(False), F.array(p)).otherwise(pretokens(p)))
-    ready = docs.withColumn("_pretokens", F.flatten(pieces))
+    ready = docs.withColumn("_pretokens", F.when(F.col("text").isNotNull(), F.flatten(pieces)))
     ranks, ids, marks = usable_ranks(tokenizer), tokenizer.ids, set(specials)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

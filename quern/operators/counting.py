@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import byte_brackets, bracket_symbols, pretokens, split_specials
+from quern.functions.text import byte_symbols, pretokens, split_specials
 
 
 def pretoken_stream(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -24,15 +24,22 @@ def pretoken_counts(docs: DataFrame, specials: Sequence[str] = ()) -> DataFrame:
 
 
 def word_table(counts: DataFrame) -> DataFrame:
-    """(s, n): distinct pre-tokens as bracketed symbols, weighted by how often they occur."""
-    return counts.select(byte_brackets(F.col("pretoken")).alias("s"), "n")
+    """(s, n): distinct pre-tokens as strings of symbols, weighted by how often they occur."""
+    return counts.select(byte_symbols(F.col("pretoken")).alias("s"), "n")
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """(left, right, c): adjacent symbols over (s, n). Overlapping pairs count."""
-    symbols = words.select(bracket_symbols(F.col("s")).alias("a"), "n").where(F.size("a") >= 2)
-    pairs = F.zip_with(F.slice("a", 1, F.size("a") - 1), F.slice("a", 2, F.size("a") - 1), lambda x, y: F.struct(x.alias("left"), y.alias("right")))
-    return symbols.select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("c"))
+    """(pair, c): adjacent symbols over (s, n), two characters each. Overlapping pairs count."""
+    long = words.where(F.length("s") >= 2)
+    starts = F.sequence(F.lit(1), F.length("s") - 1)
+    pairs = long.select(F.explode(F.transform(starts, lambda i: F.substring("s", i, F.lit(2)))).alias("pair"), "n")
+    return pairs.groupBy("pair").agg(F.sum("n").alias("c"))
+
+
+def hex_pairs(pairs: DataFrame) -> DataFrame:
+    """(left, right, c) of pairs of bytes, in hex."""
+    coded = F.hex(F.encode("pair", "ISO-8859-1"))
+    return pairs.select(F.substring(coded, 1, 2).alias("left"), F.substring(coded, 3, 2).alias("right"), "c")
 
 
 def best_pair(pairs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import END_OF_TEXT, bracket_symbols
+from quern.functions.text import END_OF_TEXT, symbol, symbol_id
 from quern.operators.counting import pair_counts, pretoken_counts, word_table
 from quern.sources.shared import cut_lineage
 
@@ -43,33 +43,26 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strate
     """Learns merges until the vocabulary has ``vocab_size`` entries or no pair is left.
 
     Counting is one distributed aggregate. ``rounds`` then merges on the distributed word table, a
-    batch of provably independent merges a job. ``local`` merges on the driver. ``auto`` counts the
-    distinct words first and takes ``local`` only up to ``local_words``. Results are the same.
+    batch of provably independent merges a job. ``local`` merges on the driver. ``auto`` takes
+    ``rounds`` for a few merges; for more it counts the distinct words first and takes ``local``
+    only up to ``local_words``. Results are the same.
     """
     vocab = base_vocab(specials)
     if vocab_size <= len(vocab):
         return Tokenizer(vocab, [], list(specials), [])
-    words = word_table(pretoken_counts(docs, specials)).where(F.length("s") > 4)
+    words = word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1)
     if strategy == "auto":
         words = words.persist()
-        strategy = "local" if words.count() <= local_words else "rounds"
+        few = vocab_size - len(vocab) <= 32
+        strategy = "rounds" if few or words.count() > local_words else "local"
     learn = _learn_local if strategy == "local" else _learn_rounds
     pairs = learn(words, vocab, vocab_size)
     words.unpersist()
     return Tokenizer(vocab, [(vocab[a], vocab[b]) for a, b, _ in pairs], list(specials), pairs)
 
 
-def symbol(i: int) -> str:
-    """A symbol id in brackets: two hex digits for a byte, else ``m`` and the id."""
-    return f"<{i:02X}>" if i < 256 else f"<m{i}>"
-
-
-def _number(s: str) -> int:
-    return int(s[1:]) if s[0] == "m" else int(s, 16)
-
-
 def apply_merges(s: Column, pairs: Iterable[tuple[int, int, int]]) -> Column:
-    """Replaces bracketed pairs in order of rank. Each replacement runs from the left and does not
+    """Replaces pairs of symbols in order of rank. Each replacement runs from the left and does not
     overlap. Valid for merges whose operands come before them, as learned here."""
     for a, b, new in pairs:
         s = F.replace(s, F.lit(symbol(a) + symbol(b)), F.lit(symbol(new)))
@@ -96,7 +89,7 @@ def _learn_local(words: DataFrame, vocab: dict[int, bytes], vocab_size: int) ->
     before: list[int] = []
     for s, n in _rows(words):
         start = len(syms)
-        symbols = bytes.fromhex(s.replace("<", "").replace(">", ""))
+        symbols = s.encode("latin-1")
         syms.extend(symbols)
         size = len(symbols)
         weight.extend([n] * size)
@@ -152,6 +145,10 @@ def _learn_local(words: DataFrame, vocab: dict[int, bytes], vocab_size: int) ->
     return learned
 
 
+def _ids(pair: str) -> tuple[int, int]:
+    return symbol_id(pair[0]), symbol_id(pair[1])
+
+
 def _rows(words: DataFrame) -> Iterable[tuple[str, int]]:
     table = words.select("s", "n").toArrow()
     return zip(table["s"].to_pylist(), table["n"].to_pylist(), strict=True)
@@ -160,7 +157,7 @@ def _rows(words: DataFrame) -> Iterable[tuple[str, int]]:
 def _learn_rounds(words: DataFrame, vocab: dict[int, bytes], vocab_size: int, cut_every: int = 64) -> list[tuple[int, int, int]]:
     """A job a round: words that hold a pair of the batch give up old pairs and gain new ones; the
     sums change the pair counts, which the vocabulary bounds, not the corpus."""
-    count = {(_number(r["left"]), _number(r["right"])): r["c"] for r in pair_counts(words).collect()}
+    count = {_ids(r["pair"]): r["c"] for r in pair_counts(words).collect()}
     learned: list[tuple[int, int, int]] = []
     applied = 0
     while len(vocab) < vocab_size and count:
@@ -174,7 +171,7 @@ def _learn_rounds(words: DataFrame, vocab: dict[int, bytes], vocab_size: int, cu
         touched = words.where(held)
         changes = touched.select("s", (-F.col("n")).alias("n")).union(touched.select(apply_merges(F.col("s"), batch).alias("s"), "n"))
         for r in pair_counts(changes).where("c != 0").collect():
-            p = (_number(r["left"]), _number(r["right"]))
+            p = _ids(r["pair"])
             count[p] = count.get(p, 0) + r["c"]
             if count[p] <= 0:
                 del count[p]
@@ -209,5 +206,3 @@ def segment(words: DataFrame, pairs: Sequence[tuple[int, int, int]]) -> DataFram
     """The word table after all merges, in the order learned."""
     return words.select(apply_merges(F.col("s"), pairs).alias("s"), "n")
 
-
-__all__ = ["PRESETS", "Tokenizer", "apply_merges", "base_vocab", "bracket_symbols", "segment", "symbol", "train"]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import tensor
-from quern.functions.text import END_OF_TEXT, split_specials
+from quern.functions.text import END_OF_TEXT, split_specials, symbol_ids
 from quern.operators import arrays, codec, counting, metrics, sampling, train
 from quern.sources import corpus, tokenizer_files
 
@@ -23,7 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, over all cores where it has few splits."""
+    return corpus.spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def learned(docs: DataFrame, k: int = MERGES) -> train.Tokenizer:
@@ -51,7 +52,7 @@ def corpus_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counting.pair_counts(counting.word_table(pretoken_counts(spark, sf_dir)))
+    return counting.hex_pairs(counting.pair_counts(counting.word_table(pretoken_counts(spark, sf_dir))))
 
 
 def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,9 @@ def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(left, right, n_words): how many distinct words hold a pair."""
+    """(left, right, n_places): in how many places of distinct words a pair stands."""
     words = counting.word_table(pretoken_counts(spark, sf_dir))
-    return counting.pair_counts(words.select("s", F.lit(1).alias("n"))).select("left", "right", F.col("c").alias("n_places"))
+    return counting.hex_pairs(counting.pair_counts(words.select("s", F.lit(1).alias("n")))).select("left", "right", F.col("c").alias("n_places"))
 
 
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,23 +76,22 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.vocab_frame(spark, found).select("token_id", F.hex("token").alias("token"))
 
 
+def _told(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), " ")
+
+
 def bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct pre-tokens in their final segments."""
+    """Distinct pre-tokens in their final segments, as ids."""
     docs = table(spark, sf_dir, "documents")
     found = learned(docs)
     words = train.segment(counting.word_table(counting.pretoken_counts(docs)), found.pairs)
-    return words.select(codec.hex_brackets(F.col("s"), found).alias("s"), "n")
-
-
-def _token_text(docs: DataFrame, found: train.Tokenizer) -> Column:
-    flat = F.replace(codec.token_brackets(F.col("text"), found), F.lit("|"), F.lit(""))
-    return codec.hex_brackets(flat, found)
+    return codec.held(words, "t", F.col("s")).select(_told(symbol_ids(F.col("t"))).alias("ids"), "n")
 
 
 def bpe_encode_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    cut = docs.select("doc_id", _token_text(docs, learned(docs)).alias("s"))
-    return cut.select("doc_id", F.size(counting.bracket_symbols(F.col("s"))).cast("long").alias("n_tokens"), F.md5("s").alias("ids_md5"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = codec.held(codec.encode(docs, learned(docs)), "_ids", F.col("ids"))
+    return ids.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.md5(_told(F.col("_ids"))).alias("ids_md5"))
 
 
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,10 +107,7 @@ def decode_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lengths(docs: DataFrame, found: train.Tokenizer, *keep: str) -> DataFrame:
-    """Token counts: of a text's bytes, less one for each merge."""
-    flat = codec.token_brackets(F.col("text"), found)
-    opened = F.length(flat) - F.length(F.replace(flat, F.lit("<"), F.lit("")))
-    return docs.select(*keep, "text", opened.cast("long").alias("n_tokens"))
+    return docs.select(*keep, "text", _count(found).alias("n_tokens"))
 
 
 def compression_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,8 +126,7 @@ def tokenizer_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _count(found: train.Tokenizer) -> Column:
-    flat = codec.token_brackets(F.col("text"), found)
-    return (F.length(flat) - F.length(F.replace(flat, F.lit("<"), F.lit("")))).cast("long")
+    return F.length(codec.token_symbols(F.col("text"), found)).cast("long")
 
 
 def tokenization_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,10 @@ r(it, s, n{w}, bl, br) as (
 MERGE_ROWS = "m as (select it, any_value(bl) l, any_value(br) r from r where it > 0 group by it)"
 DOC_WORDS = f"dw as (select doc_id, lang, source, unnest(a) w, unnest(range(len(a)))::int pos from (select *, {WORDS} a from documents))"
 
+WORD_IDS = f"""ids as (select printf('%02X', i) h, i::int id from range(256) x(i) union all select l||r, 255 + it from m),
+ws as (select w, n, unnest(a) h, unnest(range(len(a))) p from (select w, n, string_split(s[2:-2], '><') a from r where it = {MERGES})),
+wi as (select w, any_value(n) n, count(*) k, string_agg(id, ' ' order by p) ids from ws join ids using (h) group by w)"""
+
 
 def _total(it: int) -> str:
     return f"(select sum(n * len(string_split(s, '><'))) from r where it = {it} and s != '')"
@@ -63,10 +67,9 @@ select p[1] as "left", p[2] as "right", count(*) n_places from p group by 1, 2""
     "bpe_vocab": f"""with recursive {_learn(MERGES)}, {MERGE_ROWS}
 select i::int token_id, printf('%02X', i) as token from range(256) t(i)
 union all select 256, hex(encode('{END_OF_TEXT}')) union all select 256 + it, l||r from m""",
-    "bpe_words": f"with recursive {_learn(MERGES)} select s, n::bigint n from r where it = {MERGES}",
-    "bpe_encode_docs": f"""with recursive {_learn(MERGES, "w")}, {DOC_WORDS},
-e as (select w, s from r where it = {MERGES}),
-t as (select doc_id, sum(len(string_split(s, '><')))::bigint n_tokens, md5(string_agg(s, '' order by pos)) ids_md5 from dw join e using (w) group by 1)
+    "bpe_words": f"with recursive {_learn(MERGES, 'w')}, {MERGE_ROWS}, {WORD_IDS} select ids, n::bigint n from wi",
+    "bpe_encode_docs": f"""with recursive {_learn(MERGES, "w")}, {DOC_WORDS}, {MERGE_ROWS}, {WORD_IDS},
+t as (select doc_id, sum(k)::bigint n_tokens, md5(string_agg(ids, ' ' order by pos)) ids_md5 from dw join wi using (w) group by 1)
 select doc_id, coalesce(n_tokens, 0) n_tokens, coalesce(ids_md5, md5('')) ids_md5 from documents left join t using (doc_id)""",
     "bpe_roundtrip": "select doc_id, text from documents",
     "decode_unknown": "select n_nationkey doc_id, 'A'||chr(65533)||chr(65533)||'B' as text from nation",

@@ -21,6 +21,13 @@ def read_whole(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where a table has fewer splits than there are cores. Larger
+    tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_corpus(blobs: DataFrame, key: str, delimiter: str = END_OF_TEXT, drop_empty: bool = False) -> DataFrame:
     """(key, pos, text): pieces of a text column between delimiters. The piece after a trailing
     delimiter goes if empty; with ``drop_empty`` all empty pieces go and line ends are stripped."""
