@@ -2,8 +2,8 @@
 
 Each permutation of a document's shingles gives two values, the least and the greatest, so a
 signature of 2n values costs n hash evaluations. Bands of the signature are keys; documents with a
-key in common are candidates. With bands of 5 values and 40 bands, a pair of similarity 0.8 shares
-no key with a chance of 1 in 8 million.
+key in common are candidates. With 32 bands of 5 values, a pair of similarity 0.8 shares
+no key with a chance of 3 in a million, a closer pair far less often.
 
 Documents with the same set are one class from the start, so copies meet nowhere. In a bucket every
 class is compared with the bucket's first class only; most members of a large bucket are thereby
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.sources.shared import written
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 32, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
