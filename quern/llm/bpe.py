@@ -105,7 +105,7 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class RankEncoder:
     """Pieces of text to ids; remembers the pre-tokens it has met, up to a bound."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
         self.ranks, self.limit = ranks, limit
         self.find = regex.compile(pattern).findall
         self.words: dict[str, bytes] = {}

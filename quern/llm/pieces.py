@@ -14,8 +14,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: Pieces that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Pieces of the present memory. When it is full it becomes the older one; pieces met again return
+#: from there, and those met in neither time are forgotten.
+REMEMBERED = 400_000
 
 
 def _odd(piece: str) -> bool:
@@ -23,39 +24,87 @@ def _odd(piece: str) -> bool:
     return not piece or (not "!" <= piece[0] <= "~" and unicodedata.category(piece[0])[0] in "ZC")
 
 
+MARKS = ".,;:!?"
+
+
+def _simple(core: str) -> bool:
+    """Letters that every table of Unicode knows."""
+    return core.isalpha() and (core.isascii() or max(core) < "\u0250")
+
+
+def _solid(character: str) -> bool:
+    return "!" <= character <= "~" or _simple(character)
+
+
+def _parts(piece: str) -> list[tuple[str, int]]:
+    """A piece as strings whose ids follow each other, each with a kind: 0 as the piece itself begins,
+    1 at a start of its own. Cut at a line end between solid characters and between a word of letters
+    and its mark: tokens don't span those either."""
+    line, end, rest = piece.partition("\n")
+    if end and (not line or not rest or "\n" in rest or not _solid(line[-1]) or not _solid(rest[0])):
+        return [(piece, 0)]
+    out: list[tuple[str, int]] = []
+    for kind, text in enumerate((line, rest) if end else (line,)):
+        if kind:
+            out.append(("\n", 1))
+        if text[-1:] in MARKS and _simple(text[:-1]):
+            out += [(text[:-1], kind), (text[-1], 1)]
+        else:
+            out.append((text, kind))
+    return out
+
+
 class PieceMemory:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = REMEMBERED):
         self.encode, self.limit = encode, limit
         self.inner: dict[str, bytes] = {}  # pieces that a space precedes, without it
-        self.first: dict[str, bytes] = {}  # pieces at the start of a text
+        self.first: dict[str, bytes] = {}  # pieces at the start of a text or line
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # what filled them before
+
+    def _missing(self, pieces: set[str], kind: int) -> set[str]:
+        """Those not remembered. What only the older memory has comes back to the present one."""
+        known, old = (self.inner, self.first)[kind], self.older[kind]
+        lost = pieces.difference(known)
+        if not old:
+            return lost
+        known.update([(p, old[p]) for p in lost if p in old])
+        return lost.difference(old)
+
+    def _learn(self, inner: set[str], first: set[str]) -> None:
+        """Encodes the different parts of new pieces, then puts the pieces together."""
+        cut = ([(p, _parts(p)) for p in inner], [(p, _parts(p)) for p in first])
+        starts = {t for parts in cut for _, ts in parts for t, kind in ts if kind}.union(ts[0][0] for _, ts in cut[1])
+        starts, cores = self._missing(starts, 1), self._missing({ts[0][0] for _, ts in cut[0]}, 0)
+        self.first.update(zip(starts, self.encode([*starts]), strict=True))
+        self.inner.update(zip(cores, self.encode([" " + c for c in cores]), strict=True))
+        for known, pieces in zip((self.inner, self.first), cut, strict=True):
+            for piece, parts in pieces:
+                if len(parts) > 1:
+                    known[piece] = known[parts[0][0]] + b"".join([self.first[t] for t, _ in parts[1:]])
 
     def texts(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         cut = [(t or "").split(" ") for t in texts]
-        if len(self.inner) > self.limit:
-            self.inner.clear()
-        if len(self.first) > self.limit:
-            self.first.clear()
+        if len(self.inner) + len(self.first) > self.limit:
+            self.older = (self.inner, self.first)
+            self.inner, self.first = {}, {}
         new: set[str] = set()
-        whole = []
+        whole = set()
         for k, pieces in enumerate(cut):
-            unknown = {*pieces[1:]}.difference(self.inner).difference(new)
+            unknown = self._missing({*pieces[1:]}, 0).difference(new)
             if unknown and any(map(_odd, unknown)):
-                whole.append(k)
+                whole.add(k)
             else:
                 new |= unknown
-        fresh = sorted(new)
-        self.inner.update(zip(fresh, self.encode([" " + p for p in fresh]), strict=True))
-        starts = sorted({p[0] for p in cut}.difference(self.first))
-        self.first.update(zip(starts, self.encode(starts), strict=True))
-        out = [b""] * len(cut)
-        for k in whole:
-            out[k] = self.encode([texts[k] or ""])[0]
-        for k in sorted({*range(len(cut))} - {*whole}):
-            pieces, inner = cut[k], self.inner
-            out[k] = self.first[pieces[0]] + b"".join([inner[p] for p in pieces[1:]])
+        self._learn(new, self._missing({p[0] for p in cut}, 1))
+        out, inner = [], self.inner
+        for k, pieces in enumerate(cut):
+            if k in whole:
+                out.append(self.encode([texts[k] or ""])[0])
+            else:
+                out.append(self.first[pieces[0]] + b"".join([inner[p] for p in pieces[1:]]))
         return out
 
 

@@ -10,6 +10,9 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE = 15  # an integer of more than 60 bits is the whole word after this one
 MARK_EVERY = 256  # words between two marks
 
+#: Index of the narrowest selector for a bit length; past the last: an escape.
+_NARROWEST = np.searchsorted(WIDTHS, np.arange(66)).astype(np.uint8)
+
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and marks of unsigned integers. Each word takes as many of the next integers as any
@@ -18,10 +21,7 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    need = np.zeros(n, np.uint8)
-    for k, width in enumerate(WIDTHS[:-1]):
-        need[values >= np.uint64(1) << np.uint64(width)] = k + 1  # the narrowest selector, as an index
-    need[values >= np.uint64(1) << np.uint64(60)] = len(COUNTS)
+    need = _NARROWEST[np.frexp(values.astype(np.float64))[1]]  # a rounded-up value only takes more room
     # The widest need among the next c integers, for each c, from two shorter windows.
     choice = np.full(n, len(COUNTS), np.uint8)
     windows = {1: need}
