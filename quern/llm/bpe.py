@@ -153,7 +153,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = _encoder(path, pattern)
         for batch in source:
-            ids = memory.texts(batch.column("text").to_pylist())
+            ids = memory.texts(batch.column("text"))
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 

@@ -42,7 +42,7 @@ def cut(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
         memory = memory_of(tokenizer)
         for batch in source:
             rows = []
-            for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text")), strict=True):
                 view = memoryview(ids + closing)
                 n = len(view) // 4
                 count = -(-n // capacity)

@@ -8,15 +8,20 @@ control character are encoded whole, without cuts.
 
 from __future__ import annotations
 
+import gc
 import os
 import unicodedata
 from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces of the present memory. When it is full it becomes the older one; pieces met again return
 #: from there, and those met in neither time are forgotten.
 REMEMBERED = 400_000
+#: Bytes of text that are cut and looked up together, unless one text has more.
+GROUP_BYTES = 16 << 20
 
 
 def _odd(piece: str) -> bool:
@@ -74,9 +79,11 @@ class PieceMemory:
 
     def _learn(self, inner: set[str], first: set[str]) -> None:
         """Encodes the different parts of new pieces, then puts the pieces together."""
-        cut = ([(p, _parts(p)) for p in inner], [(p, _parts(p)) for p in first])
-        starts = {t for parts in cut for _, ts in parts for t, kind in ts if kind}.union(ts[0][0] for _, ts in cut[1])
-        starts, cores = self._missing(starts, 1), self._missing({ts[0][0] for _, ts in cut[0]}, 0)
+        cut = [[(p, _parts(p)) for p in new if p[-1:] in MARKS or "\n" in p] for new in (inner, first)]
+        cores = inner.difference([p for p, _ in cut[0]]).union([ts[0][0] for _, ts in cut[0]])
+        starts = first.difference([p for p, _ in cut[1]]).union([ts[0][0] for _, ts in cut[1]])
+        starts.update([t for parts in cut for _, ts in parts for t, kind in ts if kind])
+        starts, cores = self._missing(starts, 1), self._missing(cores, 0)
         self.first.update(zip(starts, self.encode([*starts]), strict=True))
         self.inner.update(zip(cores, self.encode([" " + c for c in cores]), strict=True))
         for known, pieces in zip((self.inner, self.first), cut, strict=True):
@@ -84,27 +91,58 @@ class PieceMemory:
                 if len(parts) > 1:
                     known[piece] = known[parts[0][0]] + b"".join([self.first[t] for t, _ in parts[1:]])
 
-    def texts(self, texts: Sequence[str | None]) -> list[bytes]:
+    def texts(self, texts: pa.Array | Sequence[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
-        cut = [(t or "").split(" ") for t in texts]
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.fill_null(column, "")
+        sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64)
+        out, at, collects = [], 0, gc.isenabled()
+        gc.disable()  # strings and bytes form no cycles, and passing over millions of them takes long
+        try:
+            while at < len(column):
+                end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+                out += self._group(column.slice(at, end - at))
+                at = end
+        finally:
+            if collects:
+                gc.enable()
+        return out
+
+    def _group(self, column: pa.Array) -> list[bytes]:
+        """Each different piece is looked up once; the ids are then put together by index."""
         if len(self.inner) + len(self.first) > self.limit:
             self.older = (self.inner, self.first)
             self.inner, self.first = {}, {}
-        new: set[str] = set()
-        whole = set()
-        for k, pieces in enumerate(cut):
-            unknown = self._missing({*pieces[1:]}, 0).difference(new)
-            if unknown and any(map(_odd, unknown)):
-                whole.add(k)
-            else:
-                new |= unknown
-        self._learn(new, self._missing({p[0] for p in cut}, 1))
-        out, inner = [], self.inner
-        for k, pieces in enumerate(cut):
-            if k in whole:
-                out.append(self.encode([texts[k] or ""])[0])
-            else:
-                out.append(self.first[pieces[0]] + b"".join([inner[p] for p in pieces[1:]]))
+        split = pc.split_pattern(column, " ")
+        offsets = split.offsets.to_numpy()
+        values = split.flatten()
+        begins = offsets[:-1]
+        later = np.ones(len(values), bool)
+        later[begins] = False
+        coded = values.filter(pa.array(later)).dictionary_encode()
+        pieces, firsts = coded.dictionary.to_pylist(), values.take(pa.array(begins)).to_pylist()
+        new = self._missing(set(pieces), 0)
+        odd = {p for p in new if _odd(p)}
+        self._learn(new - odd, self._missing(set(firsts), 1))
+        codes = np.empty(len(values), np.int64)
+        codes[later] = coded.indices.to_numpy()
+        codes[begins] = len(pieces) + np.arange(len(firsts))
+        known = self.inner.get
+        found = [known(p, b"") for p in pieces] + [self.first[p] for p in firsts]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        each = lengths[codes]
+        ends = np.cumsum(each)
+        places = np.repeat((np.cumsum(lengths) - lengths)[codes] - (ends - each), each)
+        places += np.arange(len(places))
+        data = ids[places].tobytes()
+        bounds = np.concatenate([[0], ends])[offsets] * 4
+        out = [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        if odd:
+            strange = np.fromiter((p in odd for p in pieces), bool, len(pieces))
+            hit = np.flatnonzero(later)[strange[coded.indices.to_numpy()]]
+            for k in np.unique(np.searchsorted(offsets, hit, side="right") - 1).tolist():
+                out[k] = self.encode([column[k].as_py()])[0]
         return out
 
 
@@ -121,9 +159,9 @@ def library_pieces(path: str, group: int = 4096) -> Callable[[list[str]], list[b
         for k in range(0, len(pieces), group):
             part = pieces[k : k + group]
             found = tokenizer.encode_batch([part], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1))
-            out += [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(part) + 1)) * 4
+            out += [ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         return out
 
     return encode

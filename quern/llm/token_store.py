@@ -54,7 +54,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | No
 
         memory, size = memory_of(tokenizer), 0
         for batch in source:
-            for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text").to_pylist()), strict=True):
+            for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text")), strict=True):
                 keys.append(key)
                 held.append(ids + closing)
                 size += len(held[-1]) // 4
