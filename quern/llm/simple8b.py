@@ -34,6 +34,8 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             most = windows[half]
             windows[c] = np.maximum(most[: n - c + 1], most[c - half : n - half + 1])
         fits = windows[c] <= s
+        if not fits.any():
+            break  # longer windows need no less and may have less
         choice[: n - c + 1][fits] = s
     steps = np.array([*COUNTS, 1], np.int64)[choice].tolist()
     starts, i = [], 0
