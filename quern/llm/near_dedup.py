@@ -5,11 +5,13 @@ signature of 2n values costs n hash evaluations. Bands of the signature are keys
 key in common are candidates. With 32 bands of 5 values, a pair of similarity 0.8 shares
 no key with a chance of 3 in a million, a closer pair far less often.
 
-Documents with the same set are one class from the start, so copies meet nowhere. In a bucket every
-class is compared with the bucket's first class only; most members of a large bucket are thereby
-linked. Components then merge, and only classes of one bucket that are still in different components
-are compared further, in rounds that double the pivots, until every pair of the bucket is either
-compared or in one component. No link between candidates is lost and no group is paired in full.
+Documents with the same set are one class from the start, so copies meet nowhere. The centre of a
+bucket is the class that meets most others over all its buckets; every class is compared with its
+buckets' centres only. What two classes of one bucket still have to be compared is told by how they
+differ from its centre. If both are linked to it, they are in one component. If not, they can only
+be alike if their differences from it have a shingle in common, for one of them among the first of
+its difference (a prefix filter, see ``compared``). So no link between candidates is lost and no
+group is paired in full.
 """
 
 from __future__ import annotations
@@ -138,6 +140,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(checked, "a long, b long")
 
 
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, linked, few, differs) for pairs of a centre a and a class b, whose set has n shingles.
+
+    ``differs`` has the shingles of one set only, those that b adds before those that it lacks, and
+    is null where a and b are linked. Let d be their number and r = (100 - percent) / (100 + percent).
+    Sets are alike when they differ in at most r times the sum of their sizes, so a class that is not
+    linked to a differs from it in more. Hence b is only alike to such a class if the two differences
+    have more than (d + r * (size of a - n)) / 2 shingles in common, and ``few``, the first so many of
+    b's that no more than the least such number less one are left out, has one of them.
+    """
+
+    def told(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("few", pa.list_(pa.int64())), ("differs", pa.list_(pa.int64()))])
+        for batch in source:
+            rows = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                u, v = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                differs = np.concatenate([np.setdiff1d(v, u, assume_unique=True), np.setdiff1d(u, v, assume_unique=True)])
+                d = len(differs)
+                common = (len(u) + len(v) - d) // 2
+                linked = 100 * common >= percent * (common + d)
+                least = (d * (100 + percent) + (100 - percent) * (len(u) - len(v))) // (2 * (100 + percent)) + 1
+                rows.append((len(v), linked, differs[: max(d - least + 1, 0)], None if linked else differs))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            arrays = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *arrays], schema=schema)
+
+    left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x"))
+    right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(told, "a long, b long, n long, linked boolean, few array<long>, differs array<long>")
+
+
 def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(v, c): ``labels`` after the links (a, b) between vertices; c is the least vertex reached.
 
@@ -173,52 +207,41 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     """
     sketch = written(sketches(docs, words, bands, rows), "sketch")
     vertices = sketch.where("doc_id is not null and digest is not null")
-    classes = vertices.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
-    own = written(vertices.select("doc_id", "digest").join(classes, "digest"), "classes")  # (digest, doc_id, rep, n)
-    keyed = vertices.select("doc_id", "digest", "bands").join(own.where("doc_id = rep").select("doc_id", "digest", "rep", "n").distinct(), ["doc_id", "digest"])
-    members = written(keyed.select("rep", "n", F.explode("bands").alias("key")), "members")
-    sizes = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("m"))
-    buckets = written(sizes.where("pivot != last"), "buckets")
-    held = written(members.join(buckets, "key").select("key", "rep", "n", "pivot", "m"), "held")
-    first = held.join(held.where("rep = pivot").select("key", F.col("n").alias("pn")).distinct(), "key").where("rep != pivot")
-    alike = F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent
-    pairs = written(first.where(alike).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    classes = vertices.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    own = written(vertices.select("doc_id", "digest").join(classes, "digest"), "classes")  # (digest, doc_id, rep)
+    keyed = vertices.select("doc_id", "digest", "bands").join(own.where("doc_id = rep").select("doc_id", "digest", "rep").distinct(), ["doc_id", "digest"])
+    members = written(keyed.select("rep", F.explode("bands").alias("key")), "members")
+    sizes = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("last"), F.count("*").alias("m"))
+    held = written(members.join(sizes.where("low != last"), "key").select("key", "rep", "m"), "held")
+    met = held.groupBy("rep").agg(F.sum("m").alias("met"))
+    centres = held.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("a"))
+    pairs = written(held.join(centres, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     inside = held.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(inside, "doc_id", "left_semi"), words), "sets")
     labels = own.select(F.col("rep").alias("v")).distinct().withColumn("c", F.col("v"))
-    links = written(confirmed(pairs, sets, percent), "links")
+    seen = written(compared(pairs, sets, percent), "seen")
+    links = seen.where("linked").select("a", "b")
     labels = contracted(labels, links.union(own.where("doc_id != rep").join(own.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    labels = _further(held.where("m > 2"), labels, sets, percent)
+    labels = _further(seen, labels, sets, percent)
     reached = own.select("digest", "rep").distinct().join(labels.withColumnRenamed("v", "rep"), "rep")
     out = sketch.join(reached.select("digest", "c"), "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _further(held: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Compares what the first pivots have left apart: members of one bucket in different components.
-
-    Round r takes as pivots the members whose hash in the bucket falls in a share that grows fourfold
-    each round; the last round takes all. Each round sees only members of buckets that still have
-    several components, and only pairs across components with sizes that allow a link.
-    """
-    shares = (1 / 64, 1 / 16, 1 / 4, 1.0)
-    for share in shares:
-        told = held.join(labels.withColumnRenamed("v", "rep"), "rep")
-        apart = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("key")
-        left = written(told.join(apart, "key").select("key", "rep", "n", "c"), "apart")
-        if left.isEmpty():
-            return labels
-        chosen = F.pmod(F.xxhash64("key", "rep"), F.lit(1 << 16)) < int(share * (1 << 16))
-        pivots = left.where(chosen).select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("c").alias("pc"))
-        near = (F.col("c") != F.col("pc")) & (F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent)
-        across = left.join(pivots, "key").where(near if share < 1 else near & (F.col("rep") < F.col("p")))
-        pairs = written(across.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).distinct(), "pairs")
-        links = written(confirmed(pairs, sets, percent), "links")
-        if not links.isEmpty():
-            labels = contracted(labels, links)
-    return labels
+def _further(seen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The labels after links between classes that have a centre in common, one of them not linked to it."""
+    apart = seen.where("not linked")
+    few = seen.join(apart.select("a").distinct(), "a", "left_semi").select("a", "b", "n", F.explode("few").alias("x"))
+    other = apart.select("a", F.col("b").alias("o"), F.col("n").alias("m"), F.explode("differs").alias("x"))
+    alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    near = few.join(other, ["a", "x"]).where((F.col("b") != F.col("o")) & alike)
+    near = near.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
+    near = near.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
+    pairs = written(near.where("ca != cb").select("a", "b"), "pairs")
+    links = written(confirmed(pairs, sets, percent), "links")
+    return labels if links.isEmpty() else contracted(labels, links)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
