@@ -232,14 +232,13 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 def _further(seen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The labels after links between classes that have a centre in common, one of them not linked to it."""
-    apart = seen.where("not linked")
-    few = seen.join(apart.select("a").distinct(), "a", "left_semi").select("a", "b", "n", F.explode("few").alias("x"))
-    other = apart.select("a", F.col("b").alias("o"), F.col("n").alias("m"), F.explode("differs").alias("x"))
+    placed = seen.join(labels.select(F.col("v").alias("b"), "c"), "b")
+    apart = placed.where("not linked")
+    few = placed.join(apart.select("a").distinct(), "a", "left_semi").select("a", "b", "n", "c", F.explode("few").alias("x"))
+    other = apart.select("a", F.col("b").alias("o"), F.col("n").alias("m"), F.col("c").alias("oc"), F.explode("differs").alias("x"))
     alike = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    near = few.join(other, ["a", "x"]).where((F.col("b") != F.col("o")) & alike)
-    near = near.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct()
-    near = near.join(labels.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(labels.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b")
-    pairs = written(near.where("ca != cb").select("a", "b"), "pairs")
+    near = few.join(other, ["a", "x"]).where((F.col("c") != F.col("oc")) & alike)
+    pairs = written(near.select(F.least("b", "o").alias("a"), F.greatest("b", "o").alias("b")).distinct(), "pairs")
     links = written(confirmed(pairs, sets, percent), "links")
     return labels if links.isEmpty() else contracted(labels, links)
 
