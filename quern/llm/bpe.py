@@ -9,6 +9,7 @@ it is met. A pre-token of n bytes takes O(n log n) at most, so very long ones ar
 from __future__ import annotations
 
 import base64
+import hashlib
 from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -16,7 +17,6 @@ from heapq import heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quern.llm.pieces import PieceMemory
 
@@ -142,6 +142,18 @@ def _table(path: str) -> list[bytes]:
     return _tables[path]
 
 
+def _encoded(source: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    memory = _encoder(path, pattern)
+    for batch in source:
+        ids = memory.texts(batch.column("text"))
+        sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(ids: bytes | None, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in memoryview(ids or b"").cast("I")])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids): every text's ids as little-endian unsigned 32-bit integers.
 
@@ -149,16 +161,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     a null doc_id, pass through; columns other than doc_id and text are dropped. ``path`` is a rank
     file that every executor has; ``pattern`` splits a text into pre-tokens.
     """
-
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _encoder(path, pattern)
-        for batch in source:
-            ids = memory.texts(batch.column("text"))
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(lambda source: _encoded(source, path, pattern), f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -169,7 +173,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for batch in source:
-            out = [b"".join([table[i] for i in memoryview(x or b"").cast("I")]) for x in batch.column("ids").to_pylist()]
+            out = [_decoded(x, table) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
@@ -177,6 +181,18 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding and then decoding every text."""
-    both = decode(encode(docs, path, pattern), path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) by encoding and then decoding every text.
+
+    Both run in one worker, which passes on only the digests: a text's ids and bytes go nowhere else.
+    """
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(path)
+        for batch in _encoded(source, path, pattern):
+            ids = batch.column("ids")
+            coded = [hashlib.sha256(x.as_py()).hexdigest() for x in ids]
+            plain = [hashlib.sha256(_decoded(x.as_py(), table)).hexdigest() for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(coded, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
