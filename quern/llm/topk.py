@@ -75,6 +75,14 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
+def _different(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of one row for each different (id, score)."""
+    at = np.lexsort((scores, ids))
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(ids[at]) != 0) | (np.diff(scores[at]) != 0)
+    return at[new]
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int = QUERY_BLOCK, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over all other
     rows, ties to the smaller vec_id; all of them if there are fewer.
@@ -98,11 +106,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, query_block: int =
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
                 values, q_values = np.frombuffer(row["values"], "<i8").reshape(len(ids), -1), np.frombuffer(row["q_values"], "<i8").reshape(len(q_ids), -1)
+                repeated = len(np.unique(ids)) < len(ids)
                 out: list[tuple[np.ndarray, ...]] = []
                 for low in range(0, len(q_ids), 256):
                     for q, scores in zip(q_ids[low : low + 256], _product(q_values[low : low + 256], values), strict=True):
                         other = ids != q
                         mine, found = ids[other], scores[other]
+                        if repeated:  # copies would take places from other candidates
+                            once = _different(mine, found)
+                            mine, found = mine[once], found[once]
                         at = _best(mine, found, k)
                         out.append((np.full(len(at), q), mine[at], found[at]))
                 if out:

@@ -184,6 +184,17 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_counts_copies_once(spark):
+    rows = [(k, [float(60 - k), 1.0]) for k in range(1, 31)]
+    rows += [rows[0]] * 40 + [rows[1]] * 3 + [(3, [50.0, 1.0])] * 2 + [(100, [1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)  # one shard
+    want = sorted({(-64 * 64 * int(v[0]), i) for i, v in rows if i != 100})[:20]
+    for shard_rows in (1000, 7):
+        got = topk.top_k(table, F.col("vec_id") == 100, 20, shard_rows=shard_rows).orderBy("rank").collect()
+        assert [(-r["score"], r["vec_id"]) for r in got] == want
+        assert [r["rank"] for r in got] == [*range(1, 21)]
+
+
 def shingles(text, words):
     w = (text or "").encode().lower().split()
     return {b" ".join(w[k : k + words]) for k in range(len(w) - words + 1)} or ({b" ".join(w)} if w else set())
