@@ -10,19 +10,19 @@ from pyspark.sql import functions as F
 
 from quern.llm import exact_dedup, language, near_dedup, packing, quality
 from quern.llm.queries import CAPACITY, END_OF_PACK, LIBRARY_FILE, tokenizer_path
-from quern.sources.shared import shared_path
+from quern.sources.shared import keyed, shared_path
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among those kept. A null doc_id matches a null one."""
-    ids = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``rows`` whose own number is among those kept, without it."""
+    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose perplexity lies outside their language's quantiles."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _only(docs, quality.judged(docs, labels).where("kept"))
+    rows = keyed(docs, "_row")
+    return _only(rows, quality.judged(rows, labels, carried=("_row",)).where("kept"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """One row of each group of equal texts stays: the smallest doc_id, null last."""
+    rows = keyed(docs, "_row")
+    ids = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    kept = exact_dedup.exact_dedup(rows.select(ids.alias("doc_id"), "text")).where("kept")
+    return _only(rows, kept.select("doc_id._row"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays: shingles of five words, 0.8."""
+    """One row of each component of near duplicates stays: shingles of five words, 0.8."""
     return near_dedup.near_dedup(docs, words=5, percent=80)
 
 

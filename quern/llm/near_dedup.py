@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.shared import written
+from quern.sources.shared import keyed, written
 
 BANDS, ROWS = 32, 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -244,6 +244,12 @@ def _further(seen: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` of which one document of each component stays: the smallest doc_id."""
-    keep = components(docs, words, percent).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of ``docs`` of which one row of each component stays: the smallest doc_id, null last.
+
+    Each row is a document of its own, whether its doc_id is null or repeated or not.
+    """
+    rows = keyed(docs, "_row")
+    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("id"))
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min("id").alias("id"))
+    return rows.join(first.select(F.col("id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)

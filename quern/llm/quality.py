@@ -125,8 +125,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return kneser_ney(counts["cell"].to_numpy(), counts["n"].to_numpy())
 
 
-def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, lang, n_symbols, bits): code length of every whole text under the model."""
+def scored(docs: DataFrame, model: np.ndarray, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang, n_symbols, bits): code length of every whole text under the model. Columns
+    ``carried`` follow unchanged."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,23 +135,24 @@ def scored(docs: DataFrame, model: np.ndarray) -> DataFrame:
         for batch in source:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             bits = [float(cells[codes(t)].sum(dtype=np.float64)) if t else 0.0 for t in texts]
-            columns = [batch.column("doc_id"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_symbols", "bits"])
+            columns = [batch.column("doc_id"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(bits, pa.float64()), *map(batch.column, carried)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_symbols", "bits", *carried])
 
-    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    return ready.mapInArrow(batches, "doc_id long, lang string, n_symbols long, bits double")
+    ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", *carried)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return ready.mapInArrow(batches, f"doc_id long, lang string, n_symbols long, bits double{kinds}")
 
 
-def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES, carried: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, lang, n_symbols, perplexity, low, high, kept) for every row of (doc_id, text, lang).
 
     Trains on the documents that ``labels`` (doc_id, quality) trusts. Perplexity is per symbol, shrunk
     for short texts; low and high are the thresholds for the row's language, or over all languages
     where it is null or has fewer than 50 trusted documents left out of training. Null and empty texts
     are rejected with a null perplexity. Without trusted documents, or where no threshold is known,
-    everything else is kept. Repeated rows are judged alike; other columns are ignored.
+    everything else is kept. Repeated rows are judged alike. Columns ``carried`` follow unchanged; others are ignored.
     """
-    rows = written(scored(docs, fit(docs, labels)), "scored")
+    rows = written(scored(docs, fit(docs, labels), carried), "scored")
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
     apart = rows.where(~in_training(F.col("doc_id")) & (F.col("n_symbols") > 0)).join(good, "doc_id", "left_semi")
     means = apart.groupBy("lang").agg(F.sum("bits").alias("b"), F.sum("n_symbols").alias("s"), F.count("*").alias("docs"))
@@ -179,5 +181,5 @@ def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] =
     return rows.select(
         "doc_id", "lang", "n_symbols", F.when(filled, F.pow(F.lit(2.0), score)).alias("perplexity"),
         F.pow(F.lit(2.0), limit(0)).alias("low"), F.pow(F.lit(2.0), limit(1)).alias("high"),
-        (filled & (score >= limit(0)) & (score <= limit(1))).alias("kept"),
+        (filled & (score >= limit(0)) & (score <= limit(1))).alias("kept"), *carried,
     )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,6 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """The rows with a number of their own, ``name``: written, so that each later reading finds the same."""
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder below the shared one."""
     jvm = spark.sparkContext._jvm

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from conftest import DATA
 from test_operators import checked_packs, plain_components
@@ -36,3 +37,26 @@ def test_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_with_null_and_repeated_ids(spark):
+    clean, labels = (spark.read.parquet(f"{DATA / 'sf0.01'}/{t}.parquet") for t in ("documents", "labels"))
+    good = [r["text"] for r in clean.join(labels.where("quality = 1"), "doc_id").where("lang = 'en' and n_chars > 2000").orderBy("doc_id").limit(3).collect()]
+    a, b, c = good
+    junk = "\x01\x02%$#*" * 400
+    near = a.replace(a.split()[40], "changed", 1)
+    rows = [(None, a), (None, b), (None, b), (7, a), (7, a), (8, c), (8, c.replace(" ", "  ", 1)), (9, near), (None, near), (5, junk), (None, junk), (5, b + " x")]
+
+    def table(kept):
+        return spark.createDataFrame([(i, t, "en") for i, t in kept], "doc_id long, text string, lang string")
+
+    def told(stage, kept):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, table(kept), str(DATA / "sf0.01")).collect()), key=str)
+
+    both = clean.select("doc_id", "text", "lang").union(table(rows))
+    after = corpus_pipeline.quality_stage(spark, both, str(DATA / "sf0.01"))
+    assert after.columns == both.columns and after.where(F.col("text") == junk).count() == 0
+    assert after.where(F.col("text") == b).count() == both.where(F.col("text") == b).count()
+    rows = [r for r in rows if r[1] != junk]
+    assert told(corpus_pipeline.exact_stage, rows) in (sorted([(7, a), (None, b), r, (9, near), (5, b + " x")], key=str) for r in ((8, c), (8, c.replace(" ", "  ", 1))))
+    assert told(corpus_pipeline.near_stage, rows) in (sorted([(7, a), (5, b + " x"), r], key=str) for r in ((8, c), (8, c.replace(" ", "  ", 1))))
