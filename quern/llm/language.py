@@ -23,6 +23,10 @@ ORDER = 3
 SAMPLE = 1500
 #: Bytes of the table of costs at most; it bounds the contexts that are grown.
 TABLE_BYTES = 64_000_000
+#: A text is foreign if it costs more than so many times its language's typical bits a byte ...
+FAR = 2.5
+#: ... where each text counts as so many typical bytes longer: a few bytes tell a rate only roughly.
+SLACK = 8
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _COUNT = "lang string, gram long, n long"
@@ -181,12 +185,18 @@ def _tree(out: np.ndarray, grown: list[np.ndarray], offsets: np.ndarray, suffix:
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(…, lang_pred, score): the language of every whole text of ``docs``, beside its columns.
+    The score compares languages with each other; ``recognised`` leaves out texts that are in none of them.
 
     A text that is null or has no letter is ``und`` with score 0, and so is every text without a
     model. The score is the share of the best language if all are equally likely beforehand; ties go
     to the language that sorts first. Columns of those names in ``docs`` are replaced.
     """
-    plain = docs.drop("lang_pred", "score")
+    return _told(docs, model).drop("bits")
+
+
+def _told(docs: DataFrame, model: Model | None) -> DataFrame:
+    """What ``identify`` says, and bits: the text's code length in that language."""
+    plain = docs.drop("lang_pred", "score", "bits")
     names = plain.columns
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # its table is bounded by TABLE_BYTES
@@ -196,17 +206,38 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in source:
             texts = batch.column("text").to_pylist()
             asked = [k for k, t in enumerate(texts) if t and learned and _LETTER.search(t)]
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            pred, score, least = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if asked:
                 bits = learned.costs([texts[k].encode() for k in asked])
                 best = bits.argmin(axis=1)
                 odds = np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0)).sum(axis=1)
-                for k, b, o in zip(asked, best.tolist(), odds.tolist(), strict=True):
-                    pred[k], score[k] = learned.languages[b], 1.0 / o
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score)], names=[*names, "lang_pred", "score"])
+                for k, b, o, m in zip(asked, best.tolist(), odds.tolist(), bits.min(axis=1).tolist(), strict=True):
+                    pred[k], score[k], least[k] = learned.languages[b], 1.0 / o, m
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(least)], names=[*names, "lang_pred", "score", "bits"])
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes)
-    return plain.mapInArrow(batches, f"{kinds + ', ' if kinds else ''}lang_pred string, score double")
+    return plain.mapInArrow(batches, f"{kinds + ', ' if kinds else ''}lang_pred string, score double, bits double")
+
+
+def typical(docs: DataFrame, model: Model | None) -> dict[str, float]:
+    """Median bits a byte of each language's held-out texts, as the model names it. A median stands while fewer
+    than half of a language's texts are junk."""
+    told = _told(sample(docs), model).where(F.col("lang_pred") != UNKNOWN)
+    rate = F.col("bits") / F.octet_length("text")
+    return {r["lang_pred"]: r["m"] for r in told.groupBy("lang_pred").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m")).collect()}  # a row for each language
+
+
+def recognised(docs: DataFrame, model: Model | None, rates: dict[str, float], score: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` in a language that the model knows: named with at least ``score``, and not
+    ``FAR`` from that language's typical bits a byte. A language without held-out texts has the mean
+    of the others; without any, texts are not called far."""
+    usual = F.lit(sum(rates.values()) / len(rates) if rates else None).cast("double")
+    for lang, rate in rates.items():
+        usual = F.when(F.col("lang_pred") == lang, rate).otherwise(usual)
+    size = F.octet_length("text")
+    near = F.coalesce(F.col("bits") + SLACK * usual <= FAR * usual * (size + SLACK), F.lit(True))
+    named = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= score)
+    return _told(docs, model).where(named & near).select(*docs.columns)
 
 
 def held_out(docs: DataFrame, folds: int = 5) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline: each stage against a plain version on what the stage before has kept."""
 
+import base64
+import random
+
 import corpus_pipeline
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,3 +63,20 @@ def test_rows_with_null_and_repeated_ids(spark):
     rows = [r for r in rows if r[1] != junk]
     assert told(corpus_pipeline.exact_stage, rows) in (sorted([(7, a), (None, b), r, (9, near), (5, b + " x")], key=str) for r in ((8, c), (8, c.replace(" ", "  ", 1))))
     assert told(corpus_pipeline.near_stage, rows) in (sorted([(7, a), (5, b + " x"), r], key=str) for r in ((8, c), (8, c.replace(" ", "  ", 1))))
+
+
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    rng = random.Random(3)
+    folder = DATA / "sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text", "lang")
+    strange = ["Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar", "Все люди рождаются свободными и равными", "すべての人間は生まれながらにして自由であり"]
+    strange += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (20, 40, 300, 300, 5000)]
+    strange += [base64.b64encode(rng.randbytes(n)).decode() for n in (30, 90, 3000)] + [rng.randbytes(60).hex()]
+    strange += ["".join(chr(rng.randrange(0x3041, 0x3094)) for _ in range(50)), "".join(chr(rng.randrange(0x430, 0x450)) for _ in range(50))]
+    rows = [(10**9 + k, t, "en") for k, t in enumerate(strange)]
+    left = corpus_pipeline.language_stage(spark, docs.union(spark.createDataFrame(rows, docs.schema)), str(folder))
+    ids = {r["doc_id"] for r in left.collect()}
+    clean = {r["doc_id"] for r in docs.join(labels.where("quality = 1"), "doc_id").where("text rlike '[A-Za-z]'").collect()}
+    assert len(clean - ids) <= 0.005 * len(clean)
+    assert not [t for i, t, _ in rows if i in ids]
