@@ -7,7 +7,8 @@ each run of a text is an indexed join with the model's shards, cell by cell, wit
 
 Perplexity is per document. Trusted documents that were left out of training give, for each
 language, the quantiles between which a document's score must lie: text that reads like nothing
-trusted is above, text that repeats itself is below.
+trusted is above, text that repeats itself is below. A run of 4 bytes can't see a repeated word that is
+longer, so word trigrams that a document has already had are counted too, and have a threshold of their own.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ QUANTILES = (0.001, 0.999)
 #: The thresholds lie beyond the quantiles by this share of half their distance: a few documents
 #: tell a far quantile only roughly.
 MARGIN = 0.25
+#: A document's share of repeated word trigrams is taken as if it had so many new ones more; it may be so
+#: many times the upper quantile of trusted documents, and is never rejected up to the floor.
+NEW_TRIGRAMS, REPEATS, REPEATS_FLOOR = 20, 2.0, 0.1
 #: Trusted documents up to this number are broadcast as ids; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -125,9 +129,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> np.ndarray:
     return kneser_ney(counts["cell"].to_numpy(), counts["n"].to_numpy())
 
 
+def repeats(text: bytes) -> float:
+    """The share of a text's word trigrams that it has had before, shrunk for short texts."""
+    words = text.split()
+    n = max(0, len(words) - 2)
+    return (n - len(set(zip(words, words[1:], words[2:])))) / (n + NEW_TRIGRAMS)
+
+
 def scored(docs: DataFrame, model: np.ndarray, carried: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, lang, n_symbols, bits): code length of every whole text under the model. Columns
-    ``carried`` follow unchanged."""
+    """(doc_id, lang, n_symbols, bits, repeats): code length of every whole text under the model, and
+    its share of repeated word trigrams. Columns ``carried`` follow unchanged."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # CELLS numbers
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,12 +146,12 @@ def scored(docs: DataFrame, model: np.ndarray, carried: tuple[str, ...] = ()) ->
         for batch in source:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             bits = [float(cells[codes(t)].sum(dtype=np.float64)) if t else 0.0 for t in texts]
-            columns = [batch.column("doc_id"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(bits, pa.float64()), *map(batch.column, carried)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_symbols", "bits", *carried])
+            columns = [batch.column("doc_id"), batch.column("lang"), pa.array([len(t) for t in texts], pa.int64()), pa.array(bits, pa.float64()), pa.array(map(repeats, texts), pa.float64()), *map(batch.column, carried)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang", "n_symbols", "bits", "repeats", *carried])
 
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text", *carried)
     kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return ready.mapInArrow(batches, f"doc_id long, lang string, n_symbols long, bits double{kinds}")
+    return ready.mapInArrow(batches, f"doc_id long, lang string, n_symbols long, bits double, repeats double{kinds}")
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] = QUANTILES, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -148,7 +159,8 @@ def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] =
 
     Trains on the documents that ``labels`` (doc_id, quality) trusts. Perplexity is per symbol, shrunk
     for short texts; low and high are the thresholds for the row's language, or over all languages
-    where it is null or has fewer than 50 trusted documents left out of training. Null and empty texts
+    where it is null or has fewer than 50 trusted documents left out of training. Texts that repeat their
+    word trigrams far more than trusted ones are rejected as well. Null and empty texts
     are rejected with a null perplexity. Without trusted documents, or where no threshold is known,
     everything else is kept. Repeated rows are judged alike. Columns ``carried`` follow unchanged; others are ignored.
     """
@@ -168,7 +180,9 @@ def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] =
     spread = apart.withColumn("h", score)
     cuts = [F.percentile_approx("h", list(quantiles), 100_000).alias("q")]
     limits = {r["lang"]: r["q"] for r in spread.groupBy("lang").agg(*cuts).collect() if r["lang"] in known}
-    every = spread.agg(*cuts).first()["q"] or [0.0, 1e9]
+    pooled_cuts = spread.agg(*cuts, F.percentile_approx("repeats", quantiles[1], 100_000).alias("r")).first()
+    every = pooled_cuts["q"] or [0.0, 1e9]
+    most = 1.0 if pooled_cuts["r"] is None else max(REPEATS_FLOOR, REPEATS * pooled_cuts["r"])
 
     def limit(k: int) -> Column:
         beyond = lambda q: float(q[k] + (2 * k - 1) * MARGIN * (q[1] - q[0]) / 2)
@@ -181,5 +195,5 @@ def judged(docs: DataFrame, labels: DataFrame, quantiles: tuple[float, float] =
     return rows.select(
         "doc_id", "lang", "n_symbols", F.when(filled, F.pow(F.lit(2.0), score)).alias("perplexity"),
         F.pow(F.lit(2.0), limit(0)).alias("low"), F.pow(F.lit(2.0), limit(1)).alias("high"),
-        (filled & (score >= limit(0)) & (score <= limit(1))).alias("kept"), *carried,
+        (filled & (score >= limit(0)) & (score <= limit(1)) & (F.col("repeats") <= most)).alias("kept"), *carried,
     )

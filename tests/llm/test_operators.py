@@ -390,3 +390,12 @@ def test_quality(spark, odd, none):
     assert len(told) == len(ROWS) and all(not r["kept"] and r["perplexity"] is None for r in told if r["n_symbols"] == 0)
     assert quality.judged(none, marks).count() == 0
     assert quality.judged(odd, marks.limit(0)).count() == len(ROWS)
+
+
+def test_quality_sees_repeated_words(spark):
+    docs, labels = (spark.read.parquet(str(DATA / "sf0.1" / f"{t}.parquet")) for t in ("documents", "labels"))
+    rows = quality.judged(docs, labels).join(labels, "doc_id").collect()
+    clean = [r["kept"] for r in rows if r["quality"] == 1]
+    junk = [r["kept"] for r in rows if r["quality"] == 0]
+    print(len(clean), sum(clean), len(junk), sum(junk))
+    assert np.mean(clean) > 0.99 and np.mean(junk) < 0.03
