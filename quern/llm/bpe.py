@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.pieces import PieceMemory
+from quern.llm.pieces import LONGEST, PieceMemory
 
-_BITS = 8  # ranks of a block
+_BITS = 8  # ranks of a block, as bits
+_LOW = (1 << _BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -29,72 +30,62 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
 
 
-class RankQueue:
-    """Positions by rank; the lowest rank comes first, and in it the leftmost position."""
-
-    __slots__ = ("blocks", "buckets", "summary")
-
-    def __init__(self) -> None:
-        self.summary = 0
-        self.blocks: dict[int, int] = {}
-        self.buckets: dict[int, list[tuple[int, int]]] = {}
-
-    def add(self, rank: int, place: tuple[int, int]) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [place]
-            block = rank >> _BITS
-            self.blocks[block] = self.blocks.get(block, 0) | 1 << (rank & (1 << _BITS) - 1)
-            self.summary |= 1 << block
-        else:
-            heappush(bucket, place)
-
-    def take(self) -> tuple[int, int]:
-        """The first place of the lowest rank; its bits go when the bucket is empty."""
-        block = (self.summary & -self.summary).bit_length() - 1
-        bits = self.blocks[block]
-        low = bits & -bits
-        rank = (block << _BITS) + low.bit_length() - 1
-        bucket = self.buckets[rank]
-        place = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            if bits == low:
-                del self.blocks[block]
-                self.summary ^= 1 << block
-            else:
-                self.blocks[block] = bits ^ low
-        return place
-
-
 def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token."""
-    if word in ranks:
-        return [ranks[word]]
+    """Ids of one pre-token.
+
+    ``buckets`` hold the places (start, end) of the pairs that wait, by rank, the leftmost first.
+    ``blocks`` have a bit for each rank of a block whose bucket isn't empty, ``summary`` one for each
+    block with a bit. The lowest set bits lead to the next place; a place whose tokens have changed
+    since it was queued is skipped.
+    """
+    found = ranks.get(word)
+    if found is not None:
+        return [found]
     n = len(word)
     after = list(range(1, n + 2))  # where the token that starts here ends; after[n] is past the end
     before = list(range(-1, n))
-    queue = RankQueue()
-    for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
-        if rank is not None:
-            queue.add(rank, (i, i + 2))
-    while queue.summary:
-        i, end = queue.take()
-        middle = after[i]
-        if middle < 0 or middle >= n or after[middle] != end:
-            continue  # a token there has grown or gone
+    summary, rank_of = 0, ranks.get
+    blocks: dict[int, int] = {}
+    buckets: dict[int, list[tuple[int, int]]] = {}
+    fresh = [(i, i + 2) for i in range(n - 1)]
+    while True:
+        for place in fresh:
+            rank = rank_of(word[place[0] : place[1]])
+            if rank is not None:
+                bucket = buckets.get(rank)
+                if bucket is None:
+                    buckets[rank] = [place]
+                    block = rank >> _BITS
+                    blocks[block] = blocks.get(block, 0) | 1 << (rank & _LOW)
+                    summary |= 1 << block
+                else:
+                    heappush(bucket, place)
+        while summary:
+            block = (summary & -summary).bit_length() - 1
+            bits = blocks[block]
+            low = bits & -bits
+            rank = (block << _BITS) + low.bit_length() - 1
+            bucket = buckets[rank]
+            i, end = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                if bits == low:
+                    del blocks[block]
+                    summary ^= 1 << block
+                else:
+                    blocks[block] = bits ^ low
+            middle = after[i]
+            if 0 <= middle < n and after[middle] == end:
+                break
+        else:
+            break
         after[i], after[middle] = end, -1
+        fresh = []
         if end < n:
             before[end] = i
-            rank = ranks.get(word[i : after[end]])
-            if rank is not None:
-                queue.add(rank, (i, after[end]))
-        left = before[i]
-        if left >= 0:
-            rank = ranks.get(word[left:end])
-            if rank is not None:
-                queue.add(rank, (left, end))
+            fresh.append((i, after[end]))
+        if before[i] >= 0:
+            fresh.append((before[i], end))
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : after[i]]])
@@ -102,25 +93,32 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class RankEncoder:
-    """Pieces of text to ids; remembers the pre-tokens it has met, up to a bound."""
+class RankTokens:
+    """Texts to ids by ranks and a pattern. Remembers pre-tokens of at most ``LONGEST`` characters, up
+    to a number: a bound in bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
+    specials: list[str] = []
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 200_000):
         self.ranks, self.limit = ranks, limit
         self.find = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        found = array("I", encode_word(word.encode(), self.ranks)).tobytes()
-        if len(self.words) >= self.limit:
-            self.words.clear()
-        if len(word) <= 64:
-            self.words[word] = found
-        return found
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        known = self.words.get
-        return [b"".join([known(w) or self.word(w) for w in self.find(p)]) for p in pieces]
+        self.words: dict[str, list[int]] = {}
+        self.opens = np.zeros(max(ranks.values()) + 1, bool)
+        self.opens[[r for t, r in ranks.items() if t.startswith(b" ")]] = True
+        self.newline = ranks[b"\n"]
+
+    def ids(self, text: str) -> np.ndarray:
+        words, found = self.words, []
+        for w in self.find(text):
+            ids = words.get(w)
+            if ids is None:
+                ids = encode_word(w.encode(), self.ranks)
+                if len(w) <= LONGEST:
+                    if len(words) >= self.limit:
+                        words.clear()
+                    words[w] = ids
+            found += ids
+        return np.array(found, "<u4")
 
 
 _encoders: dict[tuple[str, str], PieceMemory] = {}
@@ -129,7 +127,7 @@ _tables: dict[str, list[bytes]] = {}
 
 def _encoder(path: str, pattern: str) -> PieceMemory:
     if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = PieceMemory(RankEncoder(read_ranks(path), pattern).pieces)
+        _encoders[path, pattern] = PieceMemory(RankTokens(read_ranks(path), pattern))
     return _encoders[path, pattern]
 
 

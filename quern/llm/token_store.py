@@ -22,19 +22,31 @@ from quern.llm.pieces import memory_of
 
 #: Ids of a block, unless its last document is longer.
 BLOCK_IDS = 1 << 17
+#: Bytes of input, as Spark estimates them, of a range of doc_ids at most.
+SHARD_BYTES = 128 << 20
+#: Characters of a text that order rows of one doc_id among ranges.
+RANGE_PREFIX = 32
 _BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary()), ("marks", pa.binary())])
 SCHEMA = "shard int, block int, start long, n_ids long, doc_ids array<long>, sizes array<int>, words binary, marks binary"
 
 
+def _estimate(df: DataFrame) -> int:
+    """Bytes of a plan by Spark's statistics: file sizes, for a scan; 0 where it knows none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | None = None) -> None:
     """Encodes every whole text, ends each document with the id ``end``, and writes the store.
 
     A null text counts as empty: its document is the end id alone. Null doc_ids come first; rows with
-    equal doc_ids stay apart, ordered by text. Other columns are ignored. ``tokenizer`` is a file
-    that every executor has. Only texts are shuffled, once, into ranges of doc_id.
+    equal doc_ids stay apart, ordered by text. Other columns are ignored. Special tokens in a text are
+    what the library makes of them. ``tokenizer`` is a file that every executor has. Only texts are
+    shuffled, once, into ranges of doc_id; a doc_id with very many texts is cut into ranges of these.
     """
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shards = shards or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _estimate(plain) // SHARD_BYTES)
+    ordered = plain.repartitionByRange(shards, F.col("doc_id"), F.substring("text", 1, RANGE_PREFIX)).sortWithinPartitions("doc_id", "text")
     closing = np.array([end], "<u4").tobytes()
 
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
