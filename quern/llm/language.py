@@ -4,44 +4,48 @@ For each language, a context tree holds the bytes that followed each context of
 bytes in a training sample. A byte costs what PPM (method C, with exclusions) codes it with: from
 the longest known context, an escape for each context that hasn't seen it, its share in the first
 that has, and an equal share of the unseen bytes below order 0. Statistics are frozen after training,
-so a byte's cost depends only on its context and can be tabled: a row for each context of any tree, a
-column for each byte. Scoring a text sums exact code lengths; the shortest code names the language.
+so a byte's cost depends only on its context and can be tabled: each tree has a row for each of its
+contexts and a column for each byte. Scoring a text sums exact code lengths; the shortest code names
+the language.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.shared import spare
+
 ORDER = 3
 #: Documents of each language that training expects to see: the bound of its sample.
 SAMPLE = 1500
-#: Bytes of the table of costs at most; it bounds the contexts that are grown.
-TABLE_BYTES = 64_000_000
+#: Languages at most: the driver gets a row, and a model a tree, for each.
+MOST_LANGUAGES = 1000
 #: A text is foreign if it costs more than so many times its language's typical bits a byte ...
 FAR = 2.5
 #: ... where each text counts as so many typical bytes longer: a few bytes tell a rate only roughly.
 SLACK = 8
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _COUNT = "lang string, gram long, n long"
 
 
 class Model:
-    """Costs in bits: ``table[state * symbols + symbol]`` has a cost for each language. A state is
-    the longest context that some tree has; ``states`` maps the last three symbols to it."""
+    """Costs in bits. A state is the longest context that some tree has; ``states`` maps the last three
+    symbols to it. ``rows[k][state]`` is the row of the k-th language's tree for it, the longest context
+    that this tree has, and ``tables[k]`` its costs: rows of ``width`` symbols. Their size follows the
+    contexts of the bounded sample, each language's own."""
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, states: np.ndarray, table: np.ndarray):
-        self.languages, self.symbol, self.states, self.table = languages, symbol, states, table
+    def __init__(self, languages: list[str], symbol: np.ndarray, width: int, states: np.ndarray, rows: list[np.ndarray], tables: list[np.ndarray]):
+        self.languages, self.symbol, self.width, self.states, self.rows, self.tables = languages, symbol, width, states, rows, tables
 
     def costs(self, texts: list[bytes]) -> np.ndarray:
         """Code length of each text in each language."""
-        width = int(self.symbol.max()) + 1
         sizes = np.array([len(t) for t in texts], np.int64)
         out = np.zeros((len(texts), len(self.languages)))
         gap = b"\n" * ORDER  # each text starts after the same context
@@ -52,22 +56,25 @@ class Model:
                 total += len(texts[high])
                 high += 1
             raw = np.frombuffer(b"".join(gap + t for t in texts[low:high]), np.uint8)
-            for k, bits in _slabs(raw, sizes[low:high], self, width):
+            for k, bits in _slabs(raw, sizes[low:high], self):
                 out[low + k] += bits
             low = high
         return out
 
 
-def _slabs(raw: np.ndarray, sizes: np.ndarray, model: Model, width: int, slab: int = 1 << 20):
+def _slabs(raw: np.ndarray, sizes: np.ndarray, model: Model, slab: int = 1 << 20):
     """Sums of costs over slabs of the joined texts, by text."""
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER)])
+    starts, width = np.concatenate([[0], np.cumsum(sizes + ORDER)]), model.width
     for a in range(0, len(raw), slab):
         b = min(len(raw), a + slab)
         lead = min(a, ORDER)
         s = model.symbol[raw[a - lead : b]].astype(np.int64)
         code = np.zeros(len(s), np.int64)
         code[ORDER:] = (s[:-3] * width + s[1:-2]) * width + s[2:-1] if len(s) > ORDER else 0
-        costs = model.table[model.states[code] * width + s][lead:]
+        state, s = model.states[code][lead:], s[lead:]
+        costs = np.empty((len(s), len(model.tables)), np.float32)
+        for k, (rows, table) in enumerate(zip(model.rows, model.tables, strict=True)):
+            costs[:, k] = table[rows[state] * width + s]
         first = np.searchsorted(starts, a, side="right") - 1
         last = np.searchsorted(starts, b, side="left")
         for k in range(first, last):
@@ -98,25 +105,27 @@ def grams(docs: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """Whole documents with a language, about ``per_language`` of each, by a hash of the doc_id."""
     ready = docs.where("lang is not null and text is not null and doc_id is not null")
-    totals = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    totals = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(totals) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} different values")
     share = F.lit(0)
     for lang, n in totals.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * (1 << 20))).otherwise(share)
     return ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE, table_bytes: int = TABLE_BYTES) -> Model | None:
+def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
     """A model from documents with text and lang; None if there are none.
 
     The sample is bounded per language, so the counts that reach the driver are too. Null texts and
-    languages are left out. Contexts that occur least are not grown where the table would be larger
-    than ``table_bytes``.
+    languages are left out.
     """
     found = grams(sample(docs, per_language)).toArrow()
     languages = sorted(set(found["lang"].to_pylist()))
     if not languages:
         return None
-    lang = np.array([languages.index(x) for x in found["lang"].to_pylist()])
+    place = {x: k for k, x in enumerate(languages)}
+    lang = np.array([place[x] for x in found["lang"].to_pylist()])
     gram, n = found["gram"].to_numpy(), found["n"].to_numpy()
     raw = np.stack([gram >> 24, gram >> 16 & 255, gram >> 8 & 255, gram & 255])
     seen = np.unique(raw)
@@ -124,32 +133,31 @@ def fit(docs: DataFrame, per_language: int = SAMPLE, table_bytes: int = TABLE_BY
     symbol[seen] = np.arange(1, len(seen) + 1)
     width = len(seen) + 1
     s = symbol[raw]
-    most = max(width, table_bytes // (width * len(languages) * 4))
-    # Contexts of order 1 to 3 as numbers; the commonest are grown, suffixes before what extends them.
-    suffix = [np.zeros_like(s[0]), s[2], s[1] * width + s[2], (s[0] * width + s[1]) * width + s[2]]
-    grown: list[np.ndarray] = [np.array([0])]
-    for order in range(1, ORDER + 1):
-        codes, inverse = np.unique(suffix[order], return_inverse=True)
-        weight = np.bincount(inverse, weights=n)
-        parents = np.isin(codes % width ** (order - 1), grown[order - 1])
-        codes, weight = codes[parents], weight[parents]
-        room = most - sum(map(len, grown))
-        if len(codes) > room:
-            codes = np.sort(codes[np.lexsort((codes, -weight))[: max(0, room)]])
-        grown.append(codes)
-    offsets = np.cumsum([0, *map(len, grown)])
-    table = np.zeros((offsets[-1], width, len(languages)), np.float32)
+    suffix = [np.zeros_like(s[0]), s[2], s[1] * width + s[2], (s[0] * width + s[1]) * width + s[2]]  # contexts of order 0 to 3 as numbers
+    every = [np.unique(c) for c in suffix]
+    offsets = np.cumsum([0, *map(len, every)])
+    rows, tables = [], []
     for k in range(len(languages)):
         mine = lang == k
-        _tree(table[:, :, k], grown, offsets, [c[mine] for c in suffix], s[3][mine], n[mine].astype(np.float64), width)
-    states = np.zeros(width**3, np.int32)
-    every = np.arange(width**3)
+        grown = [np.unique(c[mine]) for c in suffix]
+        starts = np.cumsum([0, *map(len, grown)])
+        table = np.zeros((starts[-1], width), np.float32)
+        _tree(table, grown, starts, [c[mine] for c in suffix], s[3][mine], n[mine].astype(np.float64), width)
+        tables.append(table.ravel())
+        row = np.zeros(offsets[-1], np.int64)
+        for order in range(1, ORDER + 1):
+            own, shorter = np.searchsorted(grown[order], every[order]), np.searchsorted(every[order - 1], every[order] % width ** (order - 1))
+            held = grown[order][np.minimum(own, len(grown[order]) - 1)] == every[order]
+            row[offsets[order] : offsets[order + 1]] = np.where(held, starts[order] + own, row[offsets[order - 1] + shorter])
+        rows.append(row)
+    states = np.zeros(width**ORDER, np.int32)
+    contexts = np.arange(width**ORDER)
     for order in range(1, ORDER + 1):
-        code = every % width**order
-        at = np.searchsorted(grown[order], code)
-        hit = (at < len(grown[order])) & (grown[order][np.minimum(at, max(0, len(grown[order]) - 1))] == code) if len(grown[order]) else np.zeros(len(code), bool)
+        code = contexts % width**order
+        at = np.minimum(np.searchsorted(every[order], code), len(every[order]) - 1)
+        hit = every[order][at] == code
         states[hit] = offsets[order] + at[hit]
-    return Model(languages, symbol, states, table.reshape(-1, len(languages)))
+    return Model(languages, symbol, width, states, rows, tables)
 
 
 def _tree(out: np.ndarray, grown: list[np.ndarray], offsets: np.ndarray, suffix: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, width: int) -> None:
@@ -191,20 +199,21 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     model. The score is the share of the best language if all are equally likely beforehand; ties go
     to the language that sorts first. Columns of those names in ``docs`` are replaced.
     """
-    return _told(docs, model).drop("bits")
+    plain = docs.drop("lang_pred", "score")
+    return _told(plain, model, ("lang_pred", "score", spare("bits", plain.columns))).select(*(f"`{c}`" for c in plain.columns), "lang_pred", "score")
 
 
-def _told(docs: DataFrame, model: Model | None) -> DataFrame:
-    """What ``identify`` says, and bits: the text's code length in that language."""
-    plain = docs.drop("lang_pred", "score", "bits")
-    names = plain.columns
+def _told(docs: DataFrame, model: Model | None, new: tuple[str, str, str]) -> DataFrame:
+    """Beside the columns of ``docs``, what ``identify`` says and the text's code length in that
+    language, under three names that the columns don't have."""
+    names = docs.columns
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # its table is bounded by TABLE_BYTES
+    held = spark.sparkContext.broadcast(model)  # bounded by the sample of each language
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = held.value
         for batch in source:
-            texts = batch.column("text").to_pylist()
+            texts = batch.column(names.index("text")).to_pylist()
             asked = [k for k, t in enumerate(texts) if t and learned and _LETTER.search(t)]
             pred, score, least = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
             if asked:
@@ -213,16 +222,16 @@ def _told(docs: DataFrame, model: Model | None) -> DataFrame:
                 odds = np.exp2(np.maximum(bits.min(axis=1)[:, None] - bits, -1000.0)).sum(axis=1)
                 for k, b, o, m in zip(asked, best.tolist(), odds.tolist(), bits.min(axis=1).tolist(), strict=True):
                     pred[k], score[k], least[k] = learned.languages[b], 1.0 / o, m
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(least)], names=[*names, "lang_pred", "score", "bits"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred), pa.array(score), pa.array(least)], names=[*names, *new])
 
-    kinds = ", ".join(f"`{n}` {t}" for n, t in plain.dtypes)
-    return plain.mapInArrow(batches, f"{kinds + ', ' if kinds else ''}lang_pred string, score double, bits double")
+    kinds = "".join(f"`{n}` {t}, " for n, t in docs.dtypes)
+    return docs.mapInArrow(batches, f"{kinds}`{new[0]}` string, `{new[1]}` double, `{new[2]}` double")
 
 
 def typical(docs: DataFrame, model: Model | None) -> dict[str, float]:
     """Median bits a byte of each language's held-out texts, as the model names it. A median stands while fewer
     than half of a language's texts are junk."""
-    told = _told(sample(docs), model).where(F.col("lang_pred") != UNKNOWN)
+    told = _told(sample(docs).select("text"), model, ("lang_pred", "score", "bits")).where(F.col("lang_pred") != UNKNOWN)
     rate = F.col("bits") / F.octet_length("text")
     return {r["lang_pred"]: r["m"] for r in told.groupBy("lang_pred").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m")).collect()}  # a row for each language
 
@@ -231,16 +240,21 @@ def recognised(docs: DataFrame, model: Model | None, rates: dict[str, float], sc
     """The rows of ``docs`` in a language that the model knows: named with at least ``score``, and not
     ``FAR`` from that language's typical bits a byte. A language without held-out texts has the mean
     of the others; without any, texts are not called far."""
+    new = tuple(spare(n, docs.columns) for n in ("lang_pred", "score", "bits"))
+    named_as, sure, bits = map(F.col, new)
     usual = F.lit(sum(rates.values()) / len(rates) if rates else None).cast("double")
     for lang, rate in rates.items():
-        usual = F.when(F.col("lang_pred") == lang, rate).otherwise(usual)
+        usual = F.when(named_as == lang, rate).otherwise(usual)
     size = F.octet_length("text")
-    near = F.coalesce(F.col("bits") + SLACK * usual <= FAR * usual * (size + SLACK), F.lit(True))
-    named = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= score)
-    return _told(docs, model).where(named & near).select(*docs.columns)
+    near = F.coalesce(bits + SLACK * usual <= FAR * usual * (size + SLACK), F.lit(True))
+    return _told(docs, model, new).where((named_as != UNKNOWN) & (sure >= score) & near).select(*(f"`{c}`" for c in docs.columns))
+
+
+def in_fold(docs: DataFrame, folds: int) -> Column:
+    """Whether the checksum of the doc_id is divisible by ``folds``. A null doc_id counts as the empty text."""
+    return F.crc32(F.coalesce(docs["doc_id"].cast("string"), F.lit(""))) % folds == 0
 
 
 def held_out(docs: DataFrame, folds: int = 5) -> DataFrame:
-    """``docs`` with held_out: whether the checksum of the doc_id is divisible by ``folds``. A null
-    doc_id counts as the empty text."""
-    return docs.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == 0)
+    """``docs`` with held_out, as ``in_fold`` says."""
+    return docs.withColumn("held_out", in_fold(docs, folds))
