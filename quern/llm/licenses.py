@@ -1,10 +1,12 @@
 """License notices in documents, with DataFrame functions only.
 
-Two scans. Base phrases are found wherever their words stand next to each other. Notices are found
-by an exact set-similarity join of text blocks (lines) with templates: tokens in the order of their
-frequency in the corpus, rarest first; a template is indexed by its prefix, so short that a block
-which holds enough of the template must share one of its tokens; length and positional filters drop
-pairs that can't reach the threshold; the rest are verified on whole token sets.
+Base phrases are found wherever their words stand next to each other. Notices are found by an exact
+set-similarity join of text blocks with templates. A template's blocks are all runs of twice as many
+words as it has different ones, whatever lines they are on. Tokens are in the order of their frequency
+in the corpus, rarest first; a template is indexed by its prefix, so short that a block which holds
+enough of the template must share one of its tokens; length and positional filters drop pairs that
+can't reach the threshold; the rest are verified on whole token sets. Texts are read once: what the
+join needs of them is written as a narrow table.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.sources.shared import written
+
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Notices by label.
@@ -30,6 +34,8 @@ TEMPLATES = {
 }
 #: Percent of a template's tokens that a block must hold.
 THRESHOLD = 80
+#: Words of a block, as a multiple of the template's different ones.
+REACH = 2
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -57,13 +63,34 @@ def _once(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def token_order(texts: DataFrame) -> list[str]:
-    """The templates' tokens, those in the fewest documents first; ties by the token. The result has
-    as many entries as the templates have words."""
-    vocabulary = sorted({t for tokens in template_tokens().values() for t in tokens})
-    found = texts.select(F.explode(F.array_intersect(F.lit(vocabulary), words(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def vocabulary() -> list[str]:
+    return sorted({t for tokens in template_tokens().values() for t in tokens})
+
+
+def widest() -> int:
+    """Words of the longest block."""
+    return REACH * max(map(len, template_tokens().values()))
+
+
+def token_order(present: DataFrame) -> list[str]:
+    """The templates' tokens, those in the fewest documents first; ties by the token. ``present`` holds
+    each document's tokens in an array of that name. The result has as many entries as the templates have words."""
+    found = present.select(F.explode("present").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     counts = {r["token"]: r["n"] for r in found.collect()}
-    return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
+    return sorted(vocabulary(), key=lambda t: (counts.get(t, 0), t))
+
+
+def blocks_of(w: Column, present: Column) -> Column:
+    """array<array<string>>: the blocks of a document's words that start at a token of a template, as
+    long as the longest; words that no template has are null. A block that starts elsewhere holds no
+    more than one of these. Documents without enough of any template have none."""
+    tokens, last = F.lit(vocabulary()), widest()
+    enough = F.lit(False)
+    for own in template_tokens().values():
+        enough = enough | (F.size(F.array_intersect(present, F.lit(own))) >= needed(len(own)))
+    starts = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(tokens, x), i + 1)), lambda i: i.isNotNull())
+    block = lambda i: F.transform(F.slice(w, i, last), lambda x: F.when(F.array_contains(tokens, x), x))
+    return F.when(enough, F.transform(starts, block)).otherwise(F.array().cast("array<array<string>>"))
 
 
 def template_index(spark, order: list[str]) -> DataFrame:
@@ -78,33 +105,20 @@ def template_index(spark, order: list[str]) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def notices(texts: DataFrame) -> DataFrame:
-    """(doc_id, found array<label>, held): labels of templates that some line of a document holds,
-    and the largest share held."""
-    spark = texts.sparkSession
-    order = token_order(texts)
-    index = template_index(spark, order)
-    prefixes = sorted({order_token for order_token in _prefix_tokens(order)})
-    gated = texts.where(F.arrays_overlap(words(F.col("text")), F.lit(prefixes)))
-    lines = gated.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    blocks = _once(lines.select("doc_id", "line"), "b", F.array_intersect(F.lit(order), words(F.col("line")))).where(F.size("b") > 0)
-    probes = blocks.select("doc_id", "b", F.size("b").alias("nb"), F.posexplode("b").alias("p", "token"))
+def notices(held: DataFrame) -> DataFrame:
+    """(row, found array<label>, held) from (row, present, blocks): labels of templates of which some
+    block of a row holds the threshold, and the largest share held."""
+    order = token_order(held)
+    index = template_index(held.sparkSession, order)
+    blocks = held.select("row", F.explode("blocks").alias("s")).select("row", "s", F.array_intersect(F.lit(order), "s").alias("b"))
+    probes = blocks.select("row", "s", F.size("b").alias("nb"), F.posexplode("b").alias("p", "token"))
     length = F.col("nb") >= F.col("need")
     prefix = F.col("p") <= F.col("nb") - F.col("need")
-    position = 1 + F.least(F.col("nb") - F.col("p"), F.col("size") - F.col("at")) - 1 >= F.col("need")
+    position = F.least(F.col("nb") - F.col("p"), F.col("size") - F.col("at")) >= F.col("need")
     candidates = probes.join(F.broadcast(index), "token").where(length & prefix & position)  # the templates are a fixed list
-    common = F.size(F.array_intersect("b", "tokens"))
-    sure = candidates.select("doc_id", "label", (common / F.col("size")).alias("held"), (common >= F.col("need")).alias("sure")).where("sure")
-    return sure.groupBy("doc_id").agg(F.collect_set("label").alias("found"), F.max("held").alias("held"))
-
-
-def _prefix_tokens(order: list[str]) -> set[str]:
-    place = {t: k for k, t in enumerate(order)}
-    out = set()
-    for tokens in template_tokens().values():
-        ranked = sorted(tokens, key=place.__getitem__)
-        out |= {*ranked[: len(ranked) - needed(len(ranked)) + 1]}
-    return out
+    common = F.size(F.array_intersect(F.slice("s", F.lit(1), F.col("size") * REACH), "tokens"))
+    told = candidates.select("row", "label", "size", "need", common.alias("common")).where("common >= need")
+    return told.groupBy("row").agg(F.collect_set("label").alias("found"), F.max(F.col("common") / F.col("size")).alias("held"))
 
 
 def _hits(w: Column) -> Column:
@@ -128,38 +142,39 @@ def _hits(w: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row.
 
-    Base phrases count at all their places. ``labels`` adds those of templates of which a line holds
+    Base phrases count at all their places. ``labels`` adds those of templates of which a block holds
     the threshold. The score is 1 with a base phrase, else the largest share of a template held in a
-    line, from the threshold up, else 0. A null text is empty: no words, no labels. Rows that share a
-    doc_id, null included, are one document to the templates: each reports what any has. Other
-    columns are ignored.
+    block, from the threshold up, else 0. A null text is empty: no words, no labels. Rows are judged
+    one by one, whatever doc_ids they share. Other columns are ignored.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    split = _once(texts, "w", words(F.col("text"))).select("doc_id", "w")
-    base = _once(split, "h", _hits(F.col("w"))).select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), F.size("h").cast("long").alias("n_base"), F.array_min("h.at").cast("long").alias("first_word"),
-        F.array_max("h.at").cast("long").alias("last_word"), F.array_sort(F.array_distinct("h.label")).alias("named"),
+    split = _once(docs, "w", words(F.col("text"))).select("doc_id", "w")
+    hits = _once(_once(split, "h", _hits(F.col("w"))), "present", F.array_intersect(F.lit(vocabulary()), "w"))
+    told = hits.select(
+        "doc_id", F.size("w").cast("long").alias("n_words"), F.size("h").cast("long").alias("n_base"), F.array_min("h.at").cast("long").alias("first_word"), F.array_max("h.at").cast("long").alias("last_word"),
+        F.array_sort(F.array_distinct("h.label")).alias("named"), "present", blocks_of(F.col("w"), F.col("present")).alias("blocks"), F.monotonically_increasing_id().alias("row"),
     )
-    more = notices(texts).select(F.col("doc_id").alias("_id"), "found", "held")
-    both = base.join(more, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = written(told, "words")
+    both = rows.drop("present", "blocks").join(notices(rows), "row", "left")
     every = F.array_sort(F.array_union("named", F.coalesce("found", F.array().cast("array<string>"))))
-    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.col("held"), F.lit(0.0)))
+    score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("held", F.lit(0.0)))
     return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("named", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.cast("double").alias("score"))
 
 
 def _sql() -> str:
-    """The same in DuckDB: every line against every template, without filters."""
+    """The same in DuckDB: every block against every template, without filters but that the whole text
+    must hold enough."""
     listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     rows = ", ".join(f"('{label}', {listed(tokens)}, {needed(len(tokens))})" for label, tokens in template_tokens().items())
     lowered = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     split = "list_filter(regexp_split_to_array({}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x != '')"
     cases = " ".join("when " + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(" "))) + f" then '{name}'" for p, name in PHRASES.items())
     return f"""with t(label, tokens, need) as (values {rows}),
-d as (select doc_id, {split.format(lowered)} w, {lowered} s from documents),
+d as (select doc_id, {split.format(lowered)} w from documents),
 h as (select doc_id, label, i from (select doc_id, case {cases} end label, i from (select doc_id, w, unnest(range(1, len(w) + 1)) i from d)) where label is not null),
 b as (select doc_id, count(*) n, min(i) - 1 lo, max(i) - 1 hi, list_sort(list_distinct(list(label))) ls from h group by 1),
-l as (select doc_id, {split.format("line")} w from (select doc_id, unnest(string_split(s, chr(10))) line from d)),
-m as (select doc_id, label, len(list_intersect(tokens, w)) / len(tokens) share from l, t where len(list_intersect(tokens, w)) >= need),
+l as (select doc_id, w, label, tokens, need from d, t where len(list_intersect(tokens, w)) >= need),
+k as (select doc_id, label, tokens, need, unnest(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(tokens, w[i:i + {REACH} * len(tokens) - 1])))) common from l),
+m as (select doc_id, label, common / len(tokens) share from k where common >= need),
 f as (select doc_id, list(distinct label) ls, max(share) share from m group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(n, 0)::bigint n_base, lo::bigint first_word, hi::bigint last_word, coalesce(array_to_string(b.ls, ','), '') base_labels,
 coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.ls, []), coalesce(f.ls, [])))), ','), '') labels,

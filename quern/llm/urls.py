@@ -16,8 +16,8 @@ DIM, SIZES, STEPS, RATE, DECAY = 512, (3, 4), 120, 8.0, 1e-4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of hosts that were labelled by hand.
-BLOCKED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "adult-cam", "ad-tracker", "casino-spin", "pills-shop", "bets-live", "spam-links", "poker-win", "cheap-meds", "free-spins", "link-farm", "loan-now", "xxx-video")
-ALLOWED = ("library", "thornton", "museum", "weather", "theatre", "station", "institution", "northern", "heather", "rathbone", "stanhope", "ensemble", "orchard", "tradition", "threshold", "eastwind", "ingleside", "motherland", "reading", "history", "garden", "lighthouse", "anthem", "hearth", "bloom", "nation", "athens", "shoreline", "whittle", "stories")
+BLOCKED = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm", "adult-cam", "ad-tracker", "casino-spin", "pills-shop", "bets-live", "spam-links", "poker-win", "cheap-meds", "free-spins", "link-farm", "loan-now", "xxx-video", "casino-club", "free-casino", "adult-video", "xxx-cams", "spam-mail", "track-ads", "cheap-loans", "win-money", "pills-online", "bets-online", "poker-bets", "link-spam", "spin-win", "meds-store", "loan-farm", "cam-girls")
+ALLOWED = ("library", "thornton", "museum", "weather", "theatre", "station", "institution", "northern", "heather", "rathbone", "stanhope", "ensemble", "orchard", "tradition", "threshold", "eastwind", "ingleside", "motherland", "reading", "history", "garden", "lighthouse", "anthem", "hearth", "bloom", "nation", "athens", "shoreline", "whittle", "stories", "school", "village", "gazette", "council", "bakery", "forest", "railway", "gallery", "almanac", "harbour", "chapel", "kitchen", "observatory", "pottery")
 TOPS, LANGS, FRONTS = ("com", "net", "org"), ("en", "fr", "de", "es"), ("", "www.", "m.", "blog.")
 
 
@@ -57,8 +57,12 @@ def buckets(host: Column, path: Column) -> Column:
 
 
 def _hashed(side: str, text: Column, size: int) -> Column:
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.lit(side), F.substring(text, i, F.lit(size))), F.lit(DIM)).cast("int"))
+    """Each n-gram's bucket, from one split of the text into characters."""
+    characters, count = F.split(text, ""), F.greatest(F.length(text) - (size - 1), F.lit(0))
+    grams = F.slice(characters, F.lit(1), count)
+    for k in range(1, size):
+        grams = F.zip_with(grams, F.slice(characters, F.lit(1 + k), count), lambda a, b: F.concat(a, b))
+    return F.transform(grams, lambda g: F.pmod(F.xxhash64(F.lit(side), g), F.lit(DIM)).cast("int"))
 
 
 def train(table: DataFrame) -> list[float]:
