@@ -1,12 +1,12 @@
 """Exact duplicates by an extendible-hash index on shared files, with DataFrame functions only.
 
 A text's key is a 64-bit hash of its normal form. The directory maps a key's first bits to a bucket:
-it starts with one bucket, and while a bucket holds more than ``capacity`` different texts the
-directory doubles and that bucket splits in two. Owner tasks build the index: a row for each
-different text, with the smallest doc_id and the number of copies. Copies are counted before the
-shuffle, so a text with very many copies costs its owner no more than any other. Texts are compared
-byte by byte there; different texts with one hash form a chain in their bucket. Probes then look up
-each document in the index by bucket, key and, in a chain, digest.
+it starts with one bucket, and while a bucket holds more than ``capacity`` different keys the
+directory doubles and that bucket splits in two. It is made first, from the number of keys by prefix.
+Equal texts are then brought together by bucket, key and every byte of the text, counted before and
+after the shuffle, so a text with very many copies costs no more than any other. Owner tasks take
+ranges of buckets and keys and write the index: a row for each key with its chain, the different texts
+that have this hash. Probes look up each document by bucket and key and, in a chain of several, by digest.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from quern.sources.shared import written
 
-#: Bits of the directory at most: bounds what the driver holds. A bucket that is overfull at this
-#: depth stays one bucket; it is a range of keys like any other and loses nothing.
+#: Bits of a key by which the directory can split.
 MOST_BITS = 16
+#: Keys that a bucket holds at least before it splits, and the share of all keys that it may hold as
+#: bits: together they keep the directory well within ``MOST_BITS`` at any number of keys.
+LEAST_CAPACITY, SHARE_BITS = 4096, 12
 
 
 def normal(text: Column) -> Column:
@@ -63,39 +65,39 @@ def bucket_of(key: Column, buckets: list[tuple[int, int]], bits: int) -> Column:
     return F.get(F.lit(entries), F.shiftrightunsigned(key, 64 - depth).cast("int"))
 
 
-def build(docs: DataFrame, capacity: int = 1 << 20, hash_of=full_hash) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """The index (bucket, key, digest, keep_id, group_size, chain) on shared files, and its directory.
-    ``hash_of`` gives a column's 64-bit key; tests force collisions with a shorter one."""
-    spark = docs.sparkSession
-    text = docs.select("doc_id", normal(F.col("text")).alias("t"))
-    same = text.select("doc_id", hash_of(F.col("t")).alias("key"), "t").groupBy("key", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = written(same.select("key", F.sha2("t", 256).alias("digest"), "keep_id", "group_size"), "texts")
+def capacity_for(keys: int) -> int:
+    return max(LEAST_CAPACITY, keys >> SHARE_BITS)
+
+
+def build(docs: DataFrame, capacity: int | None = None, hash_of=full_hash) -> tuple[DataFrame, DataFrame]:
+    """The index (bucket, key, chain array<(digest, keep_id, group_size)>) on shared files, and the
+    probes (doc_id, bucket, key, text_sha256) of all rows. ``hash_of`` gives a column's 64-bit key;
+    tests force collisions with a shorter one."""
+    text = docs.select("doc_id", normal(F.col("text")).alias("t")).select("doc_id", hash_of(F.col("t")).alias("key"), "t")
+    probes = written(text.select("doc_id", "key", F.sha2("t", 256).alias("text_sha256")), "probes")
     prefix = F.shiftrightunsigned("key", 64 - MOST_BITS).cast("int")
-    sizes = {r["p"]: r["n"] for r in entries.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # 2**MOST_BITS rows at most
-    buckets = directory(sizes, MOST_BITS, capacity)
-    # Entries with one key and one digest are different texts, for equal texts are one entry: then
-    # the digest can't tell them apart either, and the build fails rather than merge them.
-    chained = entries.groupBy("key").agg(F.count("*").alias("chain"), F.count_distinct("digest").alias("digests")).where("chain > 1")
-    sound = F.assert_true(F.col("digests") == F.col("chain"), F.lit("two texts share hash and digest"))
-    chains = chained.where(sound.isNull()).select("key", F.col("chain").cast("int").alias("chain"))
-    full = entries.join(chains, "key", "left").withColumn("chain", F.coalesce("chain", F.lit(1)))
-    owners = full.withColumn("bucket", bucket_of(F.col("key"), buckets, MOST_BITS))
-    index = written(owners.repartitionByRange("bucket", "key").sortWithinPartitions("bucket", "key"), "index")
-    return index.select("bucket", "key", "digest", "keep_id", "group_size", "chain"), buckets
-
-
-def exact_dedup(docs: DataFrame, capacity: int = 1 << 20, hash_of=full_hash) -> DataFrame:
+    sizes = {r["p"]: r["n"] for r in probes.select("key").distinct().groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}  # 2**MOST_BITS rows at most
+    bucket = bucket_of(F.col("key"), directory(sizes, MOST_BITS, capacity or capacity_for(sum(sizes.values()))), MOST_BITS)
+    same = text.withColumn("bucket", bucket).groupBy("bucket", "key", "t").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    entries = written(same.select("bucket", "key", F.struct(F.sha2("t", 256).alias("digest"), "keep_id", "group_size").alias("entry")), "entries")
+    owned = entries.repartitionByRange("bucket", "key").groupBy("bucket", "key").agg(F.collect_list("entry").alias("chain"))
+    # Entries of one chain are different texts, for equal texts are one entry. If two had one digest,
+    # it couldn't tell them apart, and the build fails rather than merge them.
+    sound = F.assert_true(F.size(F.array_distinct("chain.digest")) == F.size("chain"), F.lit("two texts share hash and digest"))
+    index = written(owned.where(sound.isNull()).sortWithinPartitions("bucket", "key"), "index")
+    return index, probes.withColumn("bucket", bucket)
+
+
+def exact_dedup(docs: DataFrame, capacity: int | None = None, hash_of=full_hash) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of (doc_id, text).
 
     Null text counts as empty; white space runs count as one space. Of equal texts the smallest
-    doc_id stays; null doc_ids are never smallest unless the whole group has none (then keep_id is
-    null and the rows count as kept). Rows with one doc_id and one text are all returned, all with
-    the same answer. Other columns are ignored. An empty table gives an empty result.
+    doc_id stays; null doc_ids are never smallest and don't stay, unless the whole group has no other
+    (then keep_id is null and all its rows count as kept). Rows with one doc_id and one text are all
+    returned, all with the same answer. Other columns are ignored. An empty table gives an empty result.
     """
-    index, buckets = build(docs, capacity, hash_of)
-    text = F.col("t")
-    keyed = docs.select("doc_id", normal(F.col("text")).alias("t")).select("doc_id", hash_of(text).alias("key"), F.sha2(text, 256).alias("text_sha256"))
-    probes = keyed.withColumn("bucket", bucket_of(F.col("key"), buckets, MOST_BITS)).alias("d")
-    fits = (F.col("d.bucket") == F.col("i.bucket")) & (F.col("d.key") == F.col("i.key")) & ((F.col("chain") == 1) | (F.col("digest") == F.col("text_sha256")))
-    joined = probes.join(index.alias("i"), fits)
-    return joined.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"), "text_sha256")
+    index, probes = build(docs, capacity, hash_of)
+    mine = F.when(F.size("chain") == 1, F.get("chain", F.lit(0))).otherwise(F.get(F.filter("chain", lambda e: e["digest"] == F.col("text_sha256")), F.lit(0)))
+    found = probes.join(index, ["bucket", "key"]).withColumn("entry", mine)
+    kept = F.coalesce(F.col("doc_id") == F.col("entry.keep_id"), F.col("entry.keep_id").isNull())
+    return found.select("doc_id", "entry.keep_id", "entry.group_size", kept.alias("kept"), "text_sha256")

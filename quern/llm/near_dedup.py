@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.sources.shared import keyed, written
+from quern.sources.shared import keyed, spare, written
 
 BANDS, ROWS = 32, 5
 #: Bytes of text that are shingled together, unless one text has more.
@@ -168,7 +168,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             arrays = [pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *arrays], schema=schema)
 
-    shares = pairs.groupBy("a").agg(F.floor(F.count("*") / SHARE).alias("most"))
+    shares = written(pairs.groupBy("a").agg(F.floor(F.count("*") / SHARE).alias("most")), "shares")
     left = sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")).join(shares, "a").select("a", "x", F.explode(F.sequence(F.lit(0), "most")).alias("share"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y"))
     dealt = pairs.join(shares, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("most") + 1).alias("share"))
@@ -254,7 +254,7 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     inside = held.select(F.col("rep").alias("doc_id")).distinct()
     sets = written(full_sets(texts.join(inside, "doc_id", "left_semi"), words), "sets")
-    labels = classes.select(F.col("rep").alias("v")).distinct().withColumn("c", F.col("v"))
+    labels = written(classes.select(F.col("rep").alias("v")).distinct().withColumn("c", F.col("v")), "labels")
     seen = written(compared(pairs, sets, percent), "seen")
     links = seen.where("linked").select("a", "b")
     labels = contracted(labels, links.union(_one_document(vertices, classes)))
@@ -301,8 +301,9 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Each row is a document of its own, whether its doc_id is null or repeated or not.
     """
-    rows = keyed(docs, "_row")
-    found = components(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    ids = rows.select("_row", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row").alias("id"))
-    first = found.join(ids, "_row").groupBy("component_id").agg(F.min("id").alias("id"))
-    return rows.join(first.select(F.col("id._row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    row = spare("row", docs.columns)
+    rows = keyed(docs, row)
+    found = components(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
+    ids = rows.select(row, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row).alias("id"))
+    first = found.join(ids, row).groupBy("component_id").agg(F.min("id").alias("id"))
+    return rows.join(first.select(F.col(f"id.{row}").alias(row)), row, "left_semi").select(*(f"`{c}`" for c in docs.columns))

@@ -9,7 +9,7 @@ its work depends on the capacity, not on the number of documents.
 
 The sweep over at most ``capacity`` counts runs on the driver and yields intervals of ranks. The
 documents themselves are placed in a distributed way: each gets its rank among those of its size
-(so no two claim one place), from counts per size and salt and a rank within them, and takes the
+(so no two claim one place), from counts per size and task and a rank within them, and takes the
 place that its rank's interval names.
 """
 
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from quern.llm.pieces import memory_of
 from quern.sources.shared import written
 
-SALTS = 64
+#: Intervals of a plan that are broadcast, 40 bytes each; more are joined by a shuffle. They follow the
+#: capacity and the shape of the lengths, not the number of documents.
+BROADCAST_STEPS = 200_000
 
 
 def cut(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
@@ -100,33 +102,28 @@ def sweep(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     return plan
 
 
-def pack(pieces: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``capacity``) with sequence_id and offset.
 
     Offsets in a sequence follow each other without gaps from 0. Which of several pieces of one
-    length gets a place is decided by rank; repeated rows get places of their own. No row is kept in
-    one task for its length: ranks are counted by length and salt. The driver gets at most
-    ``capacity * salts`` counts, and broadcasts those and the plan's intervals.
+    length gets a place is decided by rank; repeated rows get places of their own. A piece's rank is
+    its number in the task that wrote it and the count of its length in the tasks before: no task gets
+    more rows of a length than another has written. The driver gets a count for each length. Columns
+    sequence_id and offset of ``pieces`` are replaced.
     """
-    spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    salted = written(salted, "pieces")  # encoded once, counted and placed from there
-    found = salted.groupBy("length", "_salt").agg(F.count("*").alias("n")).orderBy("length", "_salt").collect()
-    counts: dict[int, int] = {}
-    bases = []
-    for r in found:
-        bases.append((r["length"], r["_salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = bases[-1][2] + r["n"]
+    spark, names = pieces.sparkSession, [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = written(pieces.select(F.struct(*(f"`{c}`" for c in names)).alias("r"), F.col("length").cast("long").alias("length"), F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("at")), "pieces")  # encoded once, counted and placed from there
+    counts = written(rows.groupBy("length", "task").agg(F.count("*").alias("n")), "counts")
     plan: dict[int, list[tuple[int, ...]]] = {}
-    for length, *rest in sweep(counts, capacity):
+    for length, *rest in sweep({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, capacity):
         plan.setdefault(length, []).append(tuple(rest))
-    base = spark.createDataFrame(bases, "length long, _salt int, _base long")
-    steps = spark.createDataFrame([(k, v) for k, v in plan.items()], "length long, _steps array<struct<low: long, high: long, first: long, each: long, at: long>>")
-    ranked = salted.withColumn("_local", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start")) - 1)
-    placed = ranked.join(F.broadcast(base), ["length", "_salt"]).join(F.broadcast(steps), "length")  # both bounded by the capacity
-    rank = F.col("_base") + F.col("_local")
-    mine = placed.withColumn("_rank", rank).withColumn("_step", F.get(F.filter("_steps", lambda s: (s["low"] <= F.col("_rank")) & (F.col("_rank") < s["high"])), F.lit(0)))
-    nth = F.col("_rank") - F.col("_step.low")
-    sequence = F.col("_step.first") + F.floor(nth / F.col("_step.each"))
-    offset = F.col("_step.at") + nth % F.col("_step.each") * F.col("length")
-    return mine.select(*pieces.columns, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
+    steps = spark.createDataFrame(list(plan.items()), "length long, steps array<struct<low: long, high: long, first: long, each: long, at: long>>")
+    steps = F.broadcast(steps) if sum(map(len, plan.values())) <= BROADCAST_STEPS else steps
+    base = counts.select("length", "task", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    local = F.row_number().over(Window.partitionBy("length", "task").orderBy("at")) - 1
+    ranked = rows.select("r", "length", "task", local.alias("local")).join(base, ["length", "task"]).select("r", "length", (F.col("base") + F.col("local")).alias("rank"))
+    mine = ranked.join(steps, "length").select("r", "length", "rank", F.get(F.filter("steps", lambda s: (s["low"] <= F.col("rank")) & (F.col("rank") < s["high"])), F.lit(0)).alias("step"))
+    nth = F.col("rank") - F.col("step.low")
+    sequence = F.col("step.first") + F.floor(nth / F.col("step.each"))
+    offset = F.col("step.at") + nth % F.col("step.each") * F.col("length")
+    return mine.select(*(F.col(f"r.`{c}`") for c in names), sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
