@@ -1,80 +1,8 @@
-"""A training corpus from raw documents: five stages, each written and read again.
+"""A training corpus from raw documents, in five stages of ``quern.llm.pipeline``.
 
 Counted as part of ``quern.llm``: it goes when that folder goes.
 """
 
-from __future__ import annotations
+from quern.llm.pipeline import CAPACITY, ORACLE_SQL, STAGES, exact_stage, language_stage, near_stage, packing_stage, quality_stage, run
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quern.llm import exact_dedup, language, near_dedup, packing, quality
-from quern.llm.queries import CAPACITY, END_OF_PACK, LIBRARY_FILE, tokenizer_path
-from quern.sources.shared import keyed, shared_path
-
-
-def _only(rows: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``rows`` whose own number is among those kept, without it."""
-    return rows.join(kept.select("_row"), "_row", "left_semi").drop("_row")
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose perplexity lies outside their language's quantiles."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = keyed(docs, "_row")
-    return _only(rows, quality.judged(rows, labels, carried=("_row",)).where("kept"))
-
-
-def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: ``und``, a score below one half, or a code too
-    long for a text in the language named, measured by documents that the model hasn't seen. Two halves train a model each, which judges the
-    other half: no text is judged by a model that has learned it."""
-    halves = language.held_out(docs, folds=2)
-    parts = []
-    for half in ("held_out", "not held_out"):
-        own = halves.where(half)
-        model = language.fit(halves.where(f"not ({half})")) or language.fit(own)
-        parts.append(language.recognised(own.select(*docs.columns), model, language.typical(own, model)))
-    return parts[0].unionAll(parts[1])
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: the smallest doc_id, null last."""
-    rows = keyed(docs, "_row")
-    ids = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    kept = exact_dedup.exact_dedup(rows.select(ids.alias("doc_id"), "text")).where("kept")
-    return _only(rows, kept.select("doc_id._row"))
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near duplicates stays: shingles of five words, 0.8."""
-    return near_dedup.near_dedup(docs, words=5, percent=80)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most ``CAPACITY`` tokens."""
-    return packing.pack(packing.cut(docs, tokenizer_path(LIBRARY_FILE), END_OF_PACK, CAPACITY), CAPACITY)
-
-
-STAGES = [
-    ("quality", quality_stage),
-    ("language", language_stage),
-    ("exact_dedup", exact_stage),
-    ("near_dedup", near_stage),
-    ("packing", packing_stage),
-]
-
-#: No SQL: models and a tokenizer decide. The tests hold run() against a brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each reads what the one before has written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = shared_path(spark, f"stage-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+__all__ = ["CAPACITY", "ORACLE_SQL", "STAGES", "exact_stage", "language_stage", "near_stage", "packing_stage", "quality_stage", "run"]

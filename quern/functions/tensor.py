@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -32,48 +38,48 @@ def swiglu(w1: Column, w2: Column, w3: Column, x: Column) -> Column:
 
 def softmax(xs: Column) -> Column:
     """Softmax that doesn't overflow: the largest entry is subtracted first."""
-    shifted = F.transform(xs, lambda x: F.exp(x - F.array_max(xs)))
-    return F.transform(shifted, lambda e: e / total(shifted))
+    return bound(_shifted(xs), lambda e: bound(total(e), lambda t: F.transform(e, lambda v: v / t)))
+
+
+def _shifted(xs: Column) -> Column:
+    """Exponentials of the distances to the largest entry."""
+    return bound(xs, lambda x: bound(F.array_max(x), lambda m: F.transform(x, lambda v: F.exp(v - m))))
 
 
 def log_sum_exp(xs: Column) -> Column:
-    return F.array_max(xs) + F.log(total(F.transform(xs, lambda x: F.exp(x - F.array_max(xs)))))
+    return bound(xs, lambda x: F.array_max(x) + F.log(total(_shifted(x))))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Loss of one row; the target counts from 0."""
-    return log_sum_exp(logits) - F.element_at(logits, target.cast("int") + 1)
+    return bound(logits, lambda x: log_sum_exp(x) - F.element_at(x, target.cast("int") + 1))
 
 
 def rms_norm(xs: Column, gain: Column | None = None, eps: float = 1e-5) -> Column:
-    scale = F.sqrt(total(F.transform(xs, lambda x: x * x)) / F.size(xs) + F.lit(eps))
-    normed = F.transform(xs, lambda x: x / scale)
+    scale = lambda x: F.sqrt(total(F.transform(x, lambda v: v * v)) / F.size(x) + F.lit(eps))
+    normed = bound(xs, lambda x: bound(scale(x), lambda s: F.transform(x, lambda v: v / s)))
     return normed if gain is None else F.zip_with(normed, gain, lambda x, g: x * g)
 
 
 def rope(xs: Column, position: Column, theta: float = 10_000.0) -> Column:
     """Rotary embedding of pairs (0,1), (2,3), … of a vector at a position."""
-    half = (F.size(xs) / 2).cast("int")
 
-    def turned(k: Column) -> Column:
-        pair = (k / 2).cast("int")
-        angle = position * F.pow(F.lit(theta), -pair.cast("double") / half)
-        here, there = F.get(xs, k), F.get(xs, F.when(k % 2 == 0, k + 1).otherwise(k - 1))
-        return here * F.cos(angle) + F.when(k % 2 == 0, -there).otherwise(there) * F.sin(angle)
+    def turned(x: Column, v: Column, k: Column) -> Column:
+        angle = position * F.pow(F.lit(theta), -F.floor(k / 2).cast("double") / F.floor(F.size(x) / 2))
+        other = F.get(x, F.when(k % 2 == 0, k + 1).otherwise(k - 1))
+        return v * F.cos(angle) + F.when(k % 2 == 0, -other).otherwise(other) * F.sin(angle)
 
-    return F.transform(F.sequence(F.lit(0), F.size(xs) - 1), turned)
+    return bound(xs, lambda x: F.transform(x, lambda v, k: turned(x, v, k)))
 
 
 def attention(query: Column, keys: Column, values: Column, mask: Column | None = None) -> Column:
     """Scaled dot-product attention of one query over arrays of keys and values."""
-    scores = F.transform(keys, lambda k: dot(query, k) / F.sqrt(F.size(query).cast("double")))
+    scores = bound(query, lambda q: F.transform(keys, lambda k: dot(q, k) / F.sqrt(F.size(q).cast("double"))))
     if mask is not None:
         scores = F.zip_with(scores, mask, lambda s, m: F.when(m, s).otherwise(F.lit(-1e300)))
-    weights = softmax(scores)
-    return F.transform(
-        F.sequence(F.lit(0), F.size(F.get(values, F.lit(0))) - 1),
-        lambda d: total(F.zip_with(weights, values, lambda w, v: w * F.get(v, d))),
-    )
+    weighted = F.zip_with(softmax(scores), values, lambda w, v: F.transform(v, lambda x: w * x))
+    zeros = F.transform(F.get(values, F.lit(0)), lambda _: F.lit(0.0))
+    return F.aggregate(weighted, zeros, lambda acc, v: F.zip_with(acc, v, lambda a, b: a + b))
 
 
 def cosine_lr(step: Column, highest: float, lowest: float, warm_up: int, cycle: int) -> Column:

@@ -50,6 +50,12 @@ def byte_symbols(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
+def adjacent(s: Column) -> Column:
+    """Each two neighbouring characters of a string, in order."""
+    halves = [F.slice(F.split(s, ""), k, F.greatest(F.length(s) - 1, F.lit(0))) for k in (1, 2)]
+    return F.when(F.length(s) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(*halves, lambda a, b: F.concat(a, b)))
+
+
 def symbol(i: int) -> str:
     """The character that stands for a token id; the surrogates' range is left out."""
     return chr(i if i < 0xD800 else i + 0x800)

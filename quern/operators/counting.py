@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import byte_symbols, pretokens, split_specials
+from quern.functions.text import adjacent, byte_symbols, pretokens, split_specials
 
 
 def pretoken_stream(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -30,10 +30,13 @@ def word_table(counts: DataFrame) -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(pair, c): adjacent symbols over (s, n), two characters each. Overlapping pairs count."""
-    long = words.where(F.length("s") >= 2)
-    starts = F.sequence(F.lit(1), F.length("s") - 1)
-    pairs = long.select(F.explode(F.transform(starts, lambda i: F.substring("s", i, F.lit(2)))).alias("pair"), "n")
-    return pairs.groupBy("pair").agg(F.sum("n").alias("c"))
+    return words.select(F.explode(adjacent(F.col("s"))).alias("pair"), "n").groupBy("pair").agg(F.sum("n").alias("c"))
+
+
+def pair_index(words: DataFrame) -> DataFrame:
+    """(pair, s): the inverted index, each different pair of a word with the word. The rows of a pair
+    stay apart, so a pair that most words hold is no one task's."""
+    return words.select(F.explode(F.array_distinct(adjacent(F.col("s")))).alias("pair"), "s")
 
 
 def hex_pairs(pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import strip_newlines
 from quern.operators.prefix import running_total
+from quern.sources.shared import keyed, spare
 
 
 def usable(docs: DataFrame) -> DataFrame:
@@ -29,14 +30,19 @@ def reservoir_slots(k: int, seed: int, total: int) -> dict[int, int]:
 
 
 def reservoir_sample(docs: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFrame:
-    """(slot, key, text): the documents that reservoir sampling by key order would hold."""
-    ready = usable(docs).select(key, "text")
+    """(slot, key, text): the documents that reservoir sampling by key order would hold.
+
+    The replay draws once for each document, on the driver: that is what makes the sample the same.
+    For very many documents ``hash_sample`` gives a uniform sample without it. Rows may share a key.
+    """
+    row = spare("row", [key, "text"])
+    ready = keyed(usable(docs).select(key, "text"), row)
     total = ready.count()
     chosen = [(o, s) for s, o in reservoir_slots(k, seed, total).items()]
     slots = docs.sparkSession.createDataFrame(chosen, "ordinal long, slot int")  # k rows
-    numbered = running_total(ready.select(key, F.lit(1).alias("one")), [key], "one", "ordinal")
-    picked = numbered.join(F.broadcast(slots), "ordinal").select(key, "slot")
-    return ready.join(F.broadcast(picked), key).select("slot", key, "text")
+    numbered = running_total(ready.select(key, row, F.lit(1).alias("one")), [key, row], "one", "ordinal")
+    picked = numbered.join(F.broadcast(slots), "ordinal").select(row, "slot")
+    return ready.join(F.broadcast(picked), row).select("slot", key, "text")  # k rows
 
 
 def hash_sample(docs: DataFrame, k: int, seed: int, key: str = "doc_id") -> DataFrame:

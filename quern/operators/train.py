@@ -39,7 +39,7 @@ def base_vocab(specials: Sequence[str]) -> dict[int, bytes]:
     return dict(enumerate(found))
 
 
-def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strategy: str = "auto", local_words: int = 3_000_000) -> Tokenizer:
+def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strategy: str = "auto", local_words: int = 500_000) -> Tokenizer:
     """Learns merges until the vocabulary has ``vocab_size`` entries or no pair is left.
 
     Counting is one distributed aggregate. ``rounds`` then merges on the distributed word table, a
@@ -50,14 +50,12 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strate
     vocab = base_vocab(specials)
     if vocab_size <= len(vocab):
         return Tokenizer(vocab, [], list(specials), [])
-    words = word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1)
+    words = cut_lineage(word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1))  # counted once, whatever the rounds
     if strategy == "auto":
-        words = words.persist()
         few = vocab_size - len(vocab) <= 32
         strategy = "rounds" if few or words.count() > local_words else "local"
     learn = _learn_local if strategy == "local" else _learn_rounds
     pairs = learn(words, vocab, vocab_size)
-    words.unpersist()
     return Tokenizer(vocab, [(vocab[a], vocab[b]) for a, b, _ in pairs], list(specials), pairs)
 
 
@@ -188,6 +186,10 @@ def _independent(count: dict[tuple[int, int], int], vocab: dict[int, bytes], mos
     common, and each count above every other pair that ends or begins with a taken pair's outer
     symbols, since those bound the counts of new pairs. A pair of one symbol stands alone."""
     top = heapq.nlargest(min(64, most), count, key=lambda p: (count[p], vocab[p[0]], vocab[p[1]]))
+    begins: dict[int, int] = {}  # the highest count of a pair that begins with a symbol
+    ends: dict[int, int] = {}  # and that ends with it
+    for (x, y), c in count.items():
+        begins[x], ends[y] = max(c, begins.get(x, 0)), max(c, ends.get(y, 0))
     taken: list[tuple[int, int]] = []
     used: set[int] = set()
     bound = 0
@@ -196,7 +198,7 @@ def _independent(count: dict[tuple[int, int], int], vocab: dict[int, bytes], mos
             break
         taken.append((a, b))
         used |= {a, b}
-        bound = max([bound, *(c for (x, y), c in count.items() if (x, y) != (a, b) and (x == b or y == a))])
+        bound = max(bound, begins.get(b, 0), ends.get(a, 0))  # of (a, b) itself only if a is b, which ends the batch
         if a == b:
             break
     return taken

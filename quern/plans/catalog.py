@@ -15,6 +15,9 @@ from quern.sources import corpus, tokenizer_files
 #: Merges learned by the queries; the SQL of the oracle learns as many.
 MERGES = 12
 FEW_MERGES = 4
+#: Size of the vocabulary of the queries that encode with a long list of merges.
+LARGE = 1500
+BATCH = 32
 SAMPLE, SEED = 50, 336
 CHUNKS, CONTEXT = 16, 8
 RATES = {"highest": 1.0, "lowest": 0.1, "warm_up": 7, "cycle": 21}
@@ -71,6 +74,70 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "it int, l string, r string")
 
 
+def bpe_merges_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merges, learned on the driver from the distinct words."""
+    found = train.train(table(spark, sf_dir, "documents"), 256 + MERGES, strategy="local")
+    rows = [(k + 1, a.hex().upper(), b.hex().upper()) for k, (a, b) in enumerate(found.merges)]
+    return spark.createDataFrame(rows, "it int, l string, r string")
+
+
+def pair_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index: each pair of bytes with every word that holds it."""
+    words = counting.word_table(pretoken_counts(spark, sf_dir))
+    pair = F.hex(F.encode("pair", "ISO-8859-1"))
+    return counting.pair_index(words).select(pair.alias("pair"), F.hex(F.encode("s", "ISO-8859-1")).alias("word"))
+
+
+def special_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-token counts of delimited texts, whose delimiters separate and aren't counted."""
+    texts = table(spark, sf_dir, "documents").select(F.replace("text", F.lit("\n"), F.lit(END_OF_TEXT)).alias("text"))
+    return counting.pretoken_counts(texts, [END_OF_TEXT])
+
+
+def _large(spark: SparkSession, sf_dir: str) -> train.Tokenizer:
+    """A vocabulary of ``LARGE`` from the benchmark items, with two special tokens, one in the other."""
+    found = train.train(table(spark, sf_dir, "benchmark"), LARGE, strategy="local")
+    return codec.with_specials(found, [END_OF_TEXT, END_OF_TEXT * 2])
+
+
+def _delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit(END_OF_TEXT * 2)).alias("text"))
+
+
+def bpe_encode_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with special tokens, by a long list of merges in Arrow batches."""
+    ids = codec.held(codec.encode(_delimited(spark, sf_dir), _large(spark, sf_dir)), "_ids", F.col("ids"))
+    return ids.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.md5(_told(F.col("_ids"))).alias("ids_md5"))
+
+
+def bpe_roundtrip_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _large(spark, sf_dir)
+    return codec.decode(codec.encode(_delimited(spark, sf_dir), found), found)
+
+
+def training_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: sizes of the vocabulary and the corpus, the longest token."""
+    docs = table(spark, sf_dir, "documents")
+    found = learned(docs)
+    longest = metrics.longest_tokens(codec.vocab_frame(spark, found), 1).select(F.col("token").alias("longest_token"), F.col("n_bytes").alias("longest_bytes"))
+    sizes = docs.agg(F.count("*").alias("n_docs"), F.sum(F.octet_length("text")).alias("input_bytes"))
+    return sizes.select(F.lit(len(found.vocab)).alias("vocab_size"), F.lit(len(found.merges)).alias("n_merges"), "n_docs", "input_bytes").crossJoin(F.broadcast(longest))  # one row each
+
+
+def decode_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 bytes of each document from byte 5 on, as text: parts of characters at both ends go."""
+    raw = F.substring(F.encode("text", "UTF-8"), 6, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", corpus.decoded(raw, "ignore").alias("part"))
+
+
+def lm_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch of windows over the bytes of all documents, drawn by hash order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = arrays.sample_windows(codec.encode(docs, train.Tokenizer(train.base_vocab([]), [], [], [])), CONTEXT, BATCH, SEED)
+    joined = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), " ")
+    return cut.select("doc_id", F.col("start").cast("long").alias("start"), joined("x").alias("x"), joined("y").alias("y"))
+
+
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = train.train(table(spark, sf_dir, "documents"), 257 + MERGES, [END_OF_TEXT])
     return codec.vocab_frame(spark, found).select("token_id", F.hex("token").alias("token"))
@@ -101,8 +168,9 @@ def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decode_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of each key's digits, one of them unknown and two that aren't UTF-8."""
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.array(F.lit(65), F.lit(99_999), F.lit(195), F.lit(66)).alias("ids"))
+    """For each key an id of its own, an unknown one, one that isn't UTF-8, and a last."""
+    own = (F.col("n_nationkey") + 65).cast("int")
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), F.array(own, F.lit(99_999), F.lit(195), F.lit(66)).alias("ids"))
     return codec.decode(rows, train.Tokenizer(train.base_vocab([]), []))
 
 
@@ -140,7 +208,7 @@ def tokenization_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = learned(docs)
-    return arrays.token_array(codec.encode(docs, found), end=256 + MERGES)
+    return arrays.token_array(docs, found, end=256 + MERGES)
 
 
 def uint16_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,6 +277,25 @@ def linear_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", _rounded(tensor.linear(F.array(ones, signs), F.col("x"))).alias("y"))
 
 
+def swiglu_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices of one and two rows: plain, halved and alternating ones."""
+    ones, halves = F.transform("x", lambda _: F.lit(1.0)), F.transform("x", lambda _: F.lit(0.5))
+    signs = F.transform("x", lambda _, k: F.when(k % 2 == 0, 1.0).otherwise(-1.0))
+    back = F.array(F.array(F.lit(1.0), F.lit(2.0)))
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(tensor.swiglu(F.array(ones, signs), back, F.array(halves, ones), F.col("x"))).alias("y"))
+
+
+def rope_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(tensor.rope(F.col("x"), (F.col("vec_id") % 16).cast("double"))).alias("y"))
+
+
+def attention_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector over itself, itself reversed and, masked for odd ids, its negative."""
+    keys = F.array("x", F.reverse("x"), F.transform("x", lambda v: -v))
+    mask = F.array(F.lit(True), F.lit(True), F.col("vec_id") % 2 == 0)
+    return _vectors(spark, sf_dir).select("vec_id", _rounded(tensor.attention(F.col("x"), keys, keys, mask)).alias("y"))
+
+
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors for a list of ids: a join that Spark broadcasts only if statistics allow."""
     ids = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 7).cast("long").alias("vec_id"))
@@ -228,7 +315,8 @@ def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
+    bpe_merges_local, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
+    rope_embeddings, attention_embeddings, pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
     bpe_encode_docs, bpe_roundtrip, decode_unknown, compression_by_lang, tokenizer_compare, tokenization_summary, token_array, uint16_safe, longest_tokens,
     byte_unicode_map, reservoir_sample, hash_sample, chunk_boundaries, lm_batches, softmax_embeddings, silu_embeddings, rmsnorm_embeddings,
     cross_entropy_embeddings, linear_embeddings, embedding_lookup, grad_norm_clip, cosine_lr,

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quern.functions.text import END_OF_TEXT
-from quern.plans.catalog import CHUNKS, CONTEXT, FEW_MERGES, MERGES, RATES, SAMPLE, SEED
+from quern.plans.catalog import BATCH, CHUNKS, CONTEXT, FEW_MERGES, MERGES, RATES, SAMPLE, SEED
 
 #: The 25 white-space code points of Unicode, for a pattern engine whose \s is ASCII.
 SPACE = r"\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -64,6 +64,21 @@ select p[1] as "left", p[2] as "right", sum(n)::bigint c from p group by 1, 2 or
 p as (select unnest(list_zip(a[:-2], a[2:])) p from h where len(a) > 1)
 select p[1] as "left", p[2] as "right", count(*) n_places from p group by 1, 2""",
     "bpe_merges": f"with recursive {_learn(MERGES)}, {MERGE_ROWS} select it, l, r from m",
+    "bpe_merges_local": f"with recursive {_learn(MERGES)}, {MERGE_ROWS} select it, l, r from m",
+    "pair_words": f"""with {COUNTS}, h as (select hex(encode(w)) w, string_split(trim(regexp_replace(hex(encode(w)), '(..)', '\\1 ', 'g')), ' ') a from pc),
+p as (select w as word, unnest(list_zip(a[:-2], a[2:])) p from h where len(a) > 1) select distinct p[1]||p[2] as pair, word from p""",
+    "special_drop": f"with {COUNTS.replace('from documents', 'from (select unnest(string_split(text, chr(10))) as text from documents)')} select w pretoken, n from pc",
+    "bpe_roundtrip_large": f"select doc_id, replace(text, chr(10), '{END_OF_TEXT * 2}') as text from documents",
+    "training_metrics": f"""with recursive {_learn(MERGES)}, {MERGE_ROWS}, t as (select l||r tok, 255 + it id from m order by length(l||r) desc, it limit 1)
+select {256 + MERGES}::int vocab_size, {MERGES}::int n_merges, count(*) n_docs, sum(octet_length(encode(text)))::bigint input_bytes, any_value(tok) longest_token, (length(any_value(tok)) // 2)::int longest_bytes from documents, t""",
+    "decode_range": """with c as (select doc_id, string_split(text, '')[1:60] a from documents), s as (select doc_id, a, list_transform(a, lambda x: octet_length(encode(x))) z from c),
+p as (select doc_id, a, z, list_transform(range(1, len(a) + 1), lambda i: coalesce(list_sum(z[1:i - 1]), 0)) b from s)
+select doc_id, array_to_string(list_filter(list_transform(range(1, len(a) + 1), lambda i: case when b[i] >= 5 and b[i] + z[i] <= 45 then a[i] else '' end), lambda x: x != ''), '') part from p""",
+    "lm_drawn": f"""with b as (select doc_id, encode(text) e from documents), s as (select doc_id, unnest(range(0, octet_length(e) - {CONTEXT})) "start" from b),
+d as (select * from s order by md5('{SEED}|'||doc_id||'|'||"start"), doc_id, "start" limit {BATCH}),
+h as (select doc_id, "start", hex(e) h from d join b using (doc_id)),
+i as (select doc_id, "start", list_transform(range(0, {CONTEXT} + 1), lambda k: ('0x'||substr(h, (2 * ("start" + k) + 1)::int, 2))::int) a from h)
+select doc_id, "start"::bigint as "start", array_to_string(a[1:{CONTEXT}], ' ') x, array_to_string(a[2:{CONTEXT} + 1], ' ') y from i""",
     "bpe_vocab": f"""with recursive {_learn(MERGES)}, {MERGE_ROWS}
 select i::int token_id, printf('%02X', i) as token from range(256) t(i)
 union all select 256, hex(encode('{END_OF_TEXT}')) union all select 256 + it, l||r from m""",
@@ -72,7 +87,7 @@ union all select 256, hex(encode('{END_OF_TEXT}')) union all select 256 + it, l|
 t as (select doc_id, sum(k)::bigint n_tokens, md5(string_agg(ids, ' ' order by pos)) ids_md5 from dw join wi using (w) group by 1)
 select doc_id, coalesce(n_tokens, 0) n_tokens, coalesce(ids_md5, md5('')) ids_md5 from documents left join t using (doc_id)""",
     "bpe_roundtrip": "select doc_id, text from documents",
-    "decode_unknown": "select n_nationkey doc_id, 'A'||chr(65533)||chr(65533)||'B' as text from nation",
+    "decode_unknown": "select n_nationkey doc_id, chr(n_nationkey + 65)||chr(65533)||chr(65533)||'B' as text from nation",
     "compression_by_lang": f"""with recursive {_learn(MERGES, "w")}, {DOC_WORDS}, e as (select w, len(string_split(s, '><')) k from r where it = {MERGES}),
 t as (select lang, sum(k)::bigint num_tokens from dw join e using (w) group by 1), b as (select lang, sum(octet_length(encode(text)))::bigint input_bytes from documents group by 1)
 select lang, input_bytes, num_tokens, round(input_bytes / num_tokens, 6) bytes_per_token from b join t using (lang)""",
@@ -107,6 +122,14 @@ select doc_id, "start"::bigint as "start", array_to_string(a["start" + 1:"start"
     "rmsnorm_embeddings": f"select vec_id, {SQUASH.format('list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda u: u * u)) / len(x) + 1e-5))')} y from {VEC}",
     "cross_entropy_embeddings": f"select label, round(avg(list_max(x) + ln(list_sum({SHIFTED})) - x[vec_id % len(x) + 1]), 6) loss from {VEC} group by 1",
     "linear_embeddings": f"select vec_id, {SQUASH.format('[list_sum(x), list_sum(list_transform(x, lambda v, i: case when i % 2 = 1 then v else -v end))]')} y from {VEC}",
+    "swiglu_embeddings": f"""with e as (select vec_id, list_sum(x) a, list_sum(list_transform(x, lambda v, i: case when i % 2 = 1 then v else -v end)) b from {VEC})
+select vec_id, {SQUASH.format("[a / (1 + exp(-a)) * a / 2 + 2 * (b / (1 + exp(-b)) * a)]")} y from e""",
+    "rope_embeddings": f"""with e as (select x, vec_id, (vec_id % 16)::double p, len(x) // 2 h from {VEC})
+select vec_id, {SQUASH.format("list_transform(x, lambda v, i: v * cos(p * power(10000::double, -((i - 1) // 2)::double / h)) + (case when i % 2 = 1 then -x[i + 1] else x[i - 1] end) * sin(p * power(10000::double, -((i - 1) // 2)::double / h)))")} y from e""",
+    "attention_embeddings": f"""with e as (select vec_id, x, list_reverse(x) r, sqrt(len(x)) d from {VEC}),
+s as (select *, list_sum(list_transform(x, lambda v: v * v)) / d a, list_sum(list_transform(x, lambda v, i: v * r[i])) / d b from e),
+m as (select *, greatest(a, b, case when vec_id % 2 = 0 then -a else -1e300 end) m from s), w as (select *, exp(a - m) wa, exp(b - m) wb, case when vec_id % 2 = 0 then exp(-a - m) else 0 end wc from m)
+select vec_id, {SQUASH.format("list_transform(x, lambda v, i: (wa * v + wb * r[i] - wc * v) / (wa + wb + wc))")} y from w""",
     "embedding_lookup": f"select n_nationkey, vec_id, {SQUASH.format('x')} y from nation join {VEC} on vec_id = n_nationkey * 7",
     "grad_norm_clip": f"""with n as (select sqrt(sum(list_sum(list_transform(x, lambda v: v * v)))) norm from {VEC})
 select vec_id, round(norm, 6) norm, round(list_sum(x) * case when norm > 1 then 1 / (norm + 1e-6) else 1 end, 9) clipped_sum from {VEC}, n""",

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import END_OF_TEXT
 from quern.operators.prefix import running_total
 
 
+#: The sequences of bytes that are a character of UTF-8, one character for a byte.
+CHARACTER = "|".join((
+    r"[\x00-\x7F]", r"[\xC2-\xDF][\x80-\xBF]", r"\xE0[\xA0-\xBF][\x80-\xBF]", r"[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}", r"\xED[\x80-\x9F][\x80-\xBF]",
+    r"\xF0[\x90-\xBF][\x80-\xBF]{2}", r"[\xF1-\xF3][\x80-\xBF]{3}", r"\xF4[\x80-\x8F][\x80-\xBF]{2}",
+))
+
+
 def read_corpus(spark: SparkSession, path: str, delimiter: str = END_OF_TEXT) -> DataFrame:
     """(file, ordinal_in_split, text) of text files whose documents a delimiter separates. Spark
     splits large files at delimiters. A trailing delimiter makes no empty document."""
@@ -16,9 +23,34 @@ def read_corpus(spark: SparkSession, path: str, delimiter: str = END_OF_TEXT) ->
     return rows.select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
 
 
-def read_whole(spark: SparkSession, path: str) -> DataFrame:
-    """(file, text): each file as one text."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
+def read_whole(spark: SparkSession, path: str, errors: str = "strict") -> DataFrame:
+    """(file, text): each file as one text, line ends as line feeds."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("path").alias("file"), F.regexp_replace(decoded(F.col("content"), errors), r"\r\n?", "\n").alias("text"))
+
+
+def decoded(raw: Column, errors: str = "strict") -> Column:
+    """Text of UTF-8 bytes. Bytes that aren't UTF-8 make the job fail ("strict"), become U+FFFD
+    ("replace") or go ("ignore"). A text that is sound is never touched, a U+FFFD in it included."""
+    text = raw.cast("string")
+    if errors == "replace":
+        return F.make_valid_utf8(text)
+    if errors == "ignore":  # of all sequences of bytes, those that are a character
+        return F.when(F.is_valid_utf8(text), text).otherwise(_sound(raw))
+    if errors != "strict":
+        raise ValueError(errors)
+    return F.validate_utf8(text)
+
+
+def _sound(raw: Column) -> Column:
+    shown = F.decode(raw, "ISO-8859-1")  # a character for each byte
+    return F.decode(F.encode(F.array_join(F.regexp_extract_all(shown, F.lit(f"({CHARACTER})+"), F.lit(0)), ""), "ISO-8859-1"), "UTF-8")
+
+
+def read_range(spark: SparkSession, path: str, start: int, length: int, errors: str = "ignore") -> DataFrame:
+    """(file, text): ``length`` bytes of each file from byte ``start`` on, as text."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.col("path").alias("file"), decoded(F.substring("content", start + 1, length), errors).alias("text"))
 
 
 def spread(df: DataFrame) -> DataFrame:

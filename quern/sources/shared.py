@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,32 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. ``release`` deletes it, as does the session's regular end."""
+    if not _paths:
+        atexit.register(release, spark)
+    _paths.append(f"{shared_folder(spark)}/quern/{name}-{uuid.uuid4().hex}")
+    return _paths[-1]
+
+
+_paths: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables written here so far, and tells how many. For when the results that read them
+    have been read or written elsewhere: later reads of those fail."""
+    found, _paths[:] = [*_paths], []
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return 0
+    for path in found:
+        removed(spark, path)
+    return len(found)
+
+
+def spare(name: str, taken: Sequence[str]) -> str:
+    """A column name that is not taken, whatever its case."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -64,7 +64,7 @@ def test_running_total(spark):
 def test_token_array(spark):
     docs = spark.createDataFrame([(2, "b"), (1, "aé"), (3, None)], "doc_id long, text string")
     found = train.Tokenizer(train.base_vocab([END_OF_TEXT]), [], [], [])
-    rows = arrays.checked_uint16(arrays.token_array(codec.encode(docs, found), 256)).orderBy("pos").collect()
+    rows = arrays.checked_uint16(arrays.token_array(docs, found, 256)).orderBy("pos").collect()
     assert [r["token_id"] for r in rows] == [97, 195, 169, 256, 98, 256, 256] and [r["pos"] for r in rows] == list(range(7))
 
 
