@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import bounded
 from quern.sources.shared import spare
 
 ORDER = 3
@@ -87,7 +88,7 @@ def grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): every run of ORDER + 1 bytes after ``ORDER`` line feeds at a text's start."""
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in bounded(source):
             joined: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 joined.setdefault(lang, []).append(text.encode())
@@ -212,7 +213,7 @@ def _told(docs: DataFrame, model: Model | None, new: tuple[str, str, str]) -> Da
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = held.value
-        for batch in source:
+        for batch in bounded(source):
             texts = batch.column(names.index("text")).to_pylist()
             asked = [k for k, t in enumerate(texts) if t and learned and _LETTER.search(t)]
             pred, score, least = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)

@@ -147,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
     block, from the threshold up, else 0. A null text is empty: no words, no labels. Rows are judged
     one by one, whatever doc_ids they share. Other columns are ignored.
     """
-    split = _once(docs, "w", words(F.col("text"))).select("doc_id", "w")
+    split = _once(docs.select("doc_id", "text"), "w", words(F.col("text"))).select("doc_id", "w")
     hits = _once(_once(split, "h", _hits(F.col("w"))), "present", F.array_intersect(F.lit(vocabulary()), "w"))
     told = hits.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), F.size("h").cast("long").alias("n_base"), F.array_min("h.at").cast("long").alias("first_word"), F.array_max("h.at").cast("long").alias("last_word"),

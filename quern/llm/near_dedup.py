@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import bounded
 from quern.sources.shared import keyed, spare, written
 
 BANDS, ROWS = 32, 5
@@ -100,7 +101,7 @@ def sketches(docs: DataFrame, words: int, bands: int = BANDS, rows: int = ROWS)
     """(doc_id, n_shingles, digest, bands): the size and digest of each document's set, and its keys."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in bounded(source):
             sizes, digests, keys = [], [], []
             for found in shingle_sets(batch.column("text"), words):
                 sizes.append(len(found))
@@ -117,7 +118,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, hashes): each document's whole set as bytes of sorted 64-bit hashes."""
 
     def made(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in bounded(source):
             sets = [found.tobytes() for found in shingle_sets(batch.column("text"), words)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
@@ -128,7 +129,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are alike: 100 * intersection >= percent * union."""
 
     def checked(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in bounded(source, "x"):
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -154,7 +155,7 @@ def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def told(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("linked", pa.bool_()), ("least", pa.int64()), ("differs", pa.list_(pa.int64()))])
-        for batch in source:
+        for batch in bounded(source, "x"):
             rows = []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 u, v = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)

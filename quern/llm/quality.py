@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.batches import bounded
 from quern.sources.shared import keyed, written
 
 ORDER = 5
@@ -88,7 +89,7 @@ def run_counts(docs: DataFrame) -> DataFrame:
     """(run, n) over all texts; each group of texts adds up its own before the shuffle."""
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
+        for batch in bounded(source):
             for found, _, _ in runs([t.encode() for t in batch.column("text").to_pylist() if t]):
                 coded = pa.array(found).dictionary_encode()
                 n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
@@ -220,7 +221,7 @@ def scored(docs: DataFrame, table: DataFrame, carried: tuple[str, ...] = (), mos
         extra = [("bits", "double"), *([("n_symbols", "long"), ("repeats", "double")] if whole else [])]
 
         def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in source:
+            for batch in bounded(source):
                 texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
                 columns = [*map(batch.column, names), pa.array(_sums(texts, held.value))]
                 if whole:
