@@ -49,6 +49,33 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_names_that_clash(spark, odd, none):
+    """Extra columns under every name that an operator uses inside."""
+    names = "row _row c0 c a b v label rank share part shard bits score lang_pred key bucket chain entry keep_id digest w present blocks kept mean h q n t length task at step start n_tokens ids".split()
+    wide = odd.select("doc_id", "text", "lang", *(F.lit(7).alias(n) for n in names))
+    marks = spark.createDataFrame([(4, 1, 0)], "doc_id long, quality int, row int")
+    model = language.fit(odd.where("lang is not null"))
+    assert language.identify(wide, model).columns == [c for c in wide.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
+    for got in (
+        licenses.scan(wide), bpe.digests(wide, RANKS, P.PATTERN), exact_dedup.exact_dedup(wide), quality.judged(wide, marks), near_dedup.components(wide), near_dedup.near_dedup(wide),
+        language.recognised(wide, model, {}), language.identify(wide, model), packing.pack(packing.cut(wide, LIBRARY, 0, 64), 64),
+    ):
+        assert got.count() > 0
+    assert near_dedup.near_dedup(wide).columns == wide.columns
+    assert set(map(tuple, near_dedup.components(wide).collect())) == set(map(tuple, near_dedup.components(odd).collect()))
+    pages = spark.createDataFrame([(1, "http://a.net/x", "r", "h", "p", "v", 1)], "page_id long, url string, rule string, host string, path string, verdict string, u int")
+    assert urls.judge(pages, [0.0] * (urls.DIM + 1)).count() == 1
+
+
+def test_special_tokens_are_the_librarys(spark):
+    """As the plain call gives them: one id in op3 and op6, text in op5."""
+    docs = spark.createDataFrame([(1, "<|endoftext|> a"), (2, "x <|endoftext|><|endoftext|>\ny")], "doc_id long, text string")
+    path = shared_path(spark, "specials")
+    token_store.write(docs, path, LIBRARY, 2)
+    assert [r["n_tokens"] for r in token_store.digests(spark, path).orderBy("start").collect()] == [3, 7]
+    assert {r["length"] for r in packing.cut(docs, LIBRARY, 0, 64).collect()} == {3, 7}
+
+
 def test_simple8b():
     rng = np.random.default_rng(1)
     for n in (0, 1, 59, 60, 61, 5000):
@@ -159,6 +186,22 @@ def test_exact_dedup(odd, none):
     assert exact_dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_keeps_no_null_id_beside_another(spark):
+    docs = spark.createDataFrame([(5, "x  y"), (None, "x y"), (7, "x\ty"), (None, "z"), (None, "z")], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs).collect()), key=str)
+    assert got == sorted([(5, 5, 3, True), (None, 5, 3, False), (7, 5, 3, False), (None, None, 2, True), (None, None, 2, True)], key=str)
+
+
+def test_the_index_splits_at_production_capacity(spark):
+    """Many buckets, each of a range of keys, no more keys in one than the capacity."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 50_000).cast("string")).alias("text"))
+    index, probes = exact_dedup.build(docs)
+    rows = index.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("bucket").collect()
+    assert len(rows) > 8 and sum(r["n"] for r in rows) == 50_000 and max(r["n"] for r in rows) <= exact_dedup.LEAST_CAPACITY
+    unsigned = [(r["low"] % 2**64, r["high"] % 2**64) for r in rows]
+    assert probes.count() == 60_000 and len({h >> 60 for _, h in unsigned}) > 8
+
+
 def test_directory_doubles_only_where_needed():
     sizes = {p: 1 for p in range(64)} | {5: 100}
     buckets = exact_dedup.directory(sizes, 6, 8)
@@ -172,6 +215,7 @@ def test_top_k(spark):
     rows = [(k, [rng.choice([0.0, 0.5, -0.25, rng.random()]) for _ in range(3)], k) for k in range(60)]
     rows += [(100, None, 0), (120, [None, 1.0, 2.0], 0), (140, [float("nan"), 1.0, 0.0], 0), (160, [float("inf"), 0.0, 0.0], 0), (180, [], 0), (200, [1.0, 2.0], 0), (None, [1.0, 1.0, 1.0], 0), (20, rows[20][1], 9)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
+    assert {(r["query_id"], r["vec_id"], r["score"]) for r in topk.top_k(spark.createDataFrame([(20, []), (40, []), (1, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).collect()} == {(20, 40, 0), (40, 20, 0)}
     got = defaultdict(list)
     for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 5, query_block=2, shard_rows=7).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
@@ -183,6 +227,21 @@ def test_top_k(spark):
     assert topk.top_k(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_with_several_vectors_of_one_id(spark):
+    """In any order of the rows, and in as many shards, one answer: that of all pairs."""
+    rng = random.Random(6)
+    rows = [(rng.choice([0, 20, 40, *range(1, 15)]), [float(rng.randrange(-9, 9)) for _ in range(3)]) for _ in range(80)]
+    score = lambda a, b: sum(int(64 * x) * int(64 * y) for x, y in zip(a, b, strict=True))
+    want = set()
+    for q in (0, 20, 40):
+        found = sorted({(-score(a, b), j) for i, a in rows if i == q for j, b in rows if j != q})[:7]
+        want |= {(q, k, j, -s) for k, (s, j) in enumerate(found, 1)}
+    for seed in range(2):
+        rng.shuffle(rows)
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(1 + 4 * seed)
+        assert {tuple(r) for r in topk.top_k(table, F.col("vec_id") % 20 == 0, 7, query_block=2, shard_rows=3).collect()} == want
+
+
 def test_top_k_counts_copies_once(spark):
     rows = [(k, [float(60 - k), 1.0]) for k in range(1, 31)]
     rows += [rows[0]] * 40 + [rows[1]] * 3 + [(3, [50.0, 1.0])] * 2 + [(100, [1.0, 0.0])]
@@ -364,6 +423,35 @@ def test_language_costs_are_exact(spark):
         assert np.allclose(got, [plain_ppm(texts["en"], text), plain_ppm(texts["fr"], text)], rtol=1e-4)
 
 
+def test_language_queries_by_brute_force(spark):
+    """identify, typical and recognised against code lengths byte by byte."""
+    rng = random.Random(8)
+    words = {"en": "the cat sat on that mat and then there was this with".split(), "fr": "le chat est là et elle était sur une table très bien".split()}
+    train = [(k, " ".join(rng.choice(words[lang]) for _ in range(30)), lang) for k, lang in enumerate(["en", "fr"] * 10)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    texts = [" ".join(rng.choice(words[lang]) for _ in range(n)) for lang in words for n in (1, 3, 20)] + ["zqzq xkxk 0101", "½ ² ①", "12 .", "", None, "日本語", "the là"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "bits long, text string")
+    learn = {lang: [t for _, t, x in train if x == lang] for lang in ("en", "fr")}
+
+    def told(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und", 0.0, 0.0
+        bits = [plain_ppm(learn[lang], text) for lang in ("en", "fr")]
+        return ("en", "fr")[bits.index(min(bits))], 1 / sum(2 ** max(min(bits) - b, -1000) for b in bits), min(bits)
+
+    want = [told(t) for t in texts]
+    got = {r["bits"]: r for r in language.identify(asked, model).collect()}
+    assert [got[k]["lang_pred"] for k in range(len(texts))] == [w[0] for w in want]
+    assert np.allclose([got[k]["score"] for k in range(len(texts))], [w[1] for w in want], atol=1e-3)
+    rates = language.typical(docs, model)
+    per = {lang: sorted(told(t)[2] / len(t.encode()) for _, t, x in train if x == lang) for lang in rates}
+    assert all(np.isclose(rates[lang], per[lang][len(per[lang]) // 2 - 1], rtol=1e-3) for lang in rates)
+    kept = {r["bits"] for r in language.recognised(asked, model, rates).collect()}
+    plain = {k for k, (lang, sure, bits) in enumerate(want) if lang != "und" and sure >= 0.5 and bits + language.SLACK * rates[lang] <= language.FAR * rates[lang] * (len(texts[k].encode()) + language.SLACK)}
+    assert kept == plain and 0 < len(plain) < len(texts)
+
+
 def test_languages(spark, odd, none):
     docs = language.held_out(spark.read.parquet(str(SMALL / "documents.parquet")))
     model = language.fit(docs.where("not held_out"))
@@ -435,6 +523,44 @@ def test_runs_of_long_texts_are_whole(monkeypatch):
     assert all(len(r) == sum(n) for r, _, n in quality.runs(texts))
 
 
+def test_quality_query_by_brute_force(spark, monkeypatch):
+    """Perplexities, thresholds and decisions of a whole table against plain Python."""
+    monkeypatch.setattr(quality, "FEWEST", 8)
+    rng = random.Random(9)
+    words = {"en": "the cat sat on that mat".split(), "fr": "le chat est là bas".split(), "de": ["das"], None: ["x"]}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randrange(1, 30))), lang) for k, lang in enumerate(["en", "fr"] * 60 + ["de", None] * 3)]
+    rows += [(200, "q7 %% zz \x01" * 9, "en"), (201, "", "fr"), (202, None, "en"), (203, "the cat sat " * 200, "en"), (None, "le chat", "fr"), (5, "le le", "fr")]
+    good = {k for k in range(126)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1) for k in good] + [(200, 0)], "doc_id long, quality int")
+    fold = lambda k: zlib.crc32(str(k).encode()) % quality.FOLDS == 0
+    p = plain_kneser_ney([t.encode() for k, t, _ in rows if k in good and not fold(k)])
+    lead = b"\n" * (quality.ORDER - 1)
+    bits = {t: -sum(np.log2(p((lead + t.encode())[i : i + quality.ORDER])) for i in range(len(t.encode()))) for t in {t or "" for _, t, _ in rows}}
+    apart = [(t, lang) for k, t, lang in rows if k in good and fold(k) and t]
+    rate = lambda ts: sum(bits[t] for t in ts) / sum(len(t.encode()) for t in ts)
+    own = {lang: [t for t, x in apart if x == lang] for lang in words if lang and sum(x == lang for _, x in apart) >= 8}
+    mean = lambda lang: rate(own.get(lang) or [t for t, _ in apart])
+    score = lambda t, lang: (bits[t] + quality.PRIOR * mean(lang)) / (len(t.encode()) + quality.PRIOR)
+    pick = lambda xs, q: sorted(xs)[max(0, int(np.ceil(q * len(xs))) - 1)]
+    limits = {}
+    for lang in words:
+        xs = [score(t, x) for t, x in apart if x == lang] if lang in own else [score(t, x) for t, x in apart]
+        low, high = (pick(xs, q) for q in quality.QUANTILES)
+        limits[lang] = (low - quality.MARGIN * (high - low) / 2, high + quality.MARGIN * (high - low) / 2)
+    most = max(quality.REPEATS_FLOOR, quality.REPEATS * pick([quality.repeats(t.encode()) for t, _ in apart], quality.QUANTILES[1]))
+    assert set(own) == {"en", "fr"}
+    want = []
+    for k, t, lang in rows:
+        s = score(t or "", lang)
+        sure = min(abs(s - x) for x in limits[lang]) > 1e-4
+        want.append((str(k), bool(t) and limits[lang][0] <= s <= limits[lang][1] and quality.repeats(t.encode()) <= most if sure else None, round(2**s, 2) if t else None))
+    got = [(str(r["doc_id"]), r["kept"], r["perplexity"] and round(r["perplexity"], 2)) for r in quality.judged(docs, labels).collect()]
+    assert len(got) == len(want) and {w[1] for w in want} >= {True, False}
+    for mine, plain in zip(sorted(got, key=str), sorted(((k, g, x) for k, g, x in want), key=lambda w: str((w[0], [m for m in got if m[0] == w[0]][0][1] if w[1] is None else w[1], w[2]))), strict=True):
+        assert mine[0] == plain[0] and (plain[1] is None or mine[1] == plain[1]) and (mine[2] is None) == (plain[2] is None) and (mine[2] is None or abs(mine[2] - plain[2]) < 0.05)
+
+
 def test_quality(spark, odd, none):
     docs, labels = (spark.read.parquet(str(DATA / "sf0.01" / f"{t}.parquet")) for t in ("documents", "labels"))
     rows = quality.judged(docs, labels).join(labels, "doc_id").collect()
