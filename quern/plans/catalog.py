@@ -81,6 +81,13 @@ def bpe_merges_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "it int, l string, r string")
 
 
+def bpe_merges_500(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All merges up to a vocabulary of 500 with one special token, over the benchmark items."""
+    found = train.train(table(spark, sf_dir, "benchmark"), 500, [END_OF_TEXT], strategy="local")
+    rows = [(k + 1, a.hex().upper(), b.hex().upper()) for k, (a, b) in enumerate(found.merges)]
+    return spark.createDataFrame(rows, "it int, l string, r string")
+
+
 def pair_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index: each pair of bytes with every word that holds it."""
     words = counting.word_table(pretoken_counts(spark, sf_dir))
@@ -315,7 +322,7 @@ def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    bpe_merges_local, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
+    bpe_merges_local, bpe_merges_500, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
     rope_embeddings, attention_embeddings, pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
     bpe_encode_docs, bpe_roundtrip, decode_unknown, compression_by_lang, tokenizer_compare, tokenization_summary, token_array, uint16_safe, longest_tokens,
     byte_unicode_map, reservoir_sample, hash_sample, chunk_boundaries, lm_batches, softmax_embeddings, silu_embeddings, rmsnorm_embeddings,

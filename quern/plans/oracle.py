@@ -65,6 +65,7 @@ p as (select unnest(list_zip(a[:-2], a[2:])) p from h where len(a) > 1)
 select p[1] as "left", p[2] as "right", count(*) n_places from p group by 1, 2""",
     "bpe_merges": f"with recursive {_learn(MERGES)}, {MERGE_ROWS} select it, l, r from m",
     "bpe_merges_local": f"with recursive {_learn(MERGES)}, {MERGE_ROWS} select it, l, r from m",
+    "bpe_merges_500": f"with recursive {_learn(243).replace('from documents', 'from benchmark')}, {MERGE_ROWS} select it, l, r from m",
     "pair_words": f"""with {COUNTS}, h as (select hex(encode(w)) w, string_split(trim(regexp_replace(hex(encode(w)), '(..)', '\\1 ', 'g')), ' ') a from pc),
 p as (select w as word, unnest(list_zip(a[:-2], a[2:])) p from h where len(a) > 1) select distinct p[1]||p[2] as pair, word from p""",
     "special_drop": f"with {COUNTS.replace('from documents', 'from (select unnest(string_split(text, chr(10))) as text from documents)')} select w pretoken, n from pc",

@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from quern.functions import tensor
@@ -51,6 +52,12 @@ def test_reservoir_replays_the_plain_loop(spark):
     assert sampling.hash_sample(docs, 5, 1).collect() == sampling.hash_sample(docs.repartition(7), 5, 1).collect()
 
 
+def test_a_sample_of_rows_that_share_a_key(spark):
+    docs = spark.createDataFrame([(k % 3, f"d{k}") for k in range(30)], "doc_id long, text string")
+    got = sampling.reservoir_sample(docs, 5, 1).collect()
+    assert sorted(r["slot"] for r in got) == list(range(5)) and len({r["text"] for r in got}) == 5
+
+
 def test_running_total(spark):
     rows = [(k % 50, k, k % 7) for k in range(500)]
     got = prefix.running_total(spark.createDataFrame(rows, "a long, b long, v long"), ["a", "b"], "v", "t", 9).collect()
@@ -97,6 +104,42 @@ def test_saved_tokens_and_records(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 100
 
 
+def test_decoding_policies(spark):
+    rng = random.Random(2)
+    raw = [bytes(rng.choice(b"ab\xc3\xa9\xe2\x82\xac\xf0\x9f\x99\x83\xed\xa0\x80\xff\xc0") for _ in range(rng.randrange(9))) for _ in range(500)] + ["é\ufffd🙃".encode(), b""]
+    rows = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(raw)], "id int, b binary")
+    for errors in ("ignore", "replace"):
+        got = {r["id"]: r["t"] for r in rows.select("id", corpus.decoded(F.col("b"), errors).alias("t")).collect()}
+        assert got == {k: b.decode("utf-8", errors) for k, b in enumerate(raw)}
+    sound = rows.where(f"id = {len(raw) - 2}")
+    assert sound.select(corpus.decoded(F.col("b")).alias("t")).first()["t"] == "é\ufffd🙃"
+    with pytest.raises(Exception, match="UTF"):
+        rows.select(corpus.decoded(F.col("b")).alias("t")).collect()
+
+
+def test_ranges_of_bytes(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes("aé\r\nb€c".encode())
+    assert corpus.read_range(spark, str(tmp_path / "a.txt"), 2, 6).first()["text"] == "\r\nb"
+    assert corpus.read_whole(spark, str(tmp_path / "a.txt")).first()["text"] == "aé\nb€c"
+
+
+def test_inverted_index(spark):
+    from quern.operators import counting
+
+    words = spark.createDataFrame([("aab", 2), ("ab", 1), ("b", 9), ("", 1)], "s string, n long")
+    assert sorted(map(tuple, counting.pair_index(words).collect())) == [("aa", "aab"), ("ab", "aab"), ("ab", "ab")]
+    assert {r["pair"]: r["c"] for r in counting.pair_counts(words).collect()} == {"aa": 2, "ab": 3}
+
+
+def test_release(spark):
+    path = shared.shared_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert shared.release(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    assert shared.spare("Row", ["row", "ROW_"]) == "Row__"
+
+
 def test_stream_equals_batch(spark, tmp_path):
     docs = spark.createDataFrame([(k, f"text {k} é\n\nend") for k in range(40)], "doc_id long, text string")
     docs.repartition(4).write.parquet(f"{tmp_path}/in")
@@ -139,6 +182,20 @@ def test_tensor_contracts(spark):
     assert one(spark, tensor.clip_scale(F.lit(0.5), 1.0)) == 1.0
 
 
+def test_contracts_over_long_vectors_take_linear_time(spark):
+    import time
+
+    def seconds(d):
+        rows = spark.range(50).select(F.transform(F.sequence(F.lit(1), F.lit(d)), lambda k: F.sin(k + F.col("id"))).alias("x")).select("*", F.pmod(F.size("x"), F.lit(7)).alias("t")).collect()
+        frame = spark.createDataFrame(rows, "x array<double>, t int")
+        began = time.perf_counter()
+        frame.select(tensor.softmax(F.col("x")), tensor.cross_entropy(F.col("x"), F.col("t")), tensor.rms_norm(F.col("x"))).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(16)
+    assert seconds(4096) < 60  # 16 million steps if linear, 70 billion if not
+
+
 def test_learning_rates(spark):
     rates = [r[0] for r in spark.range(25).select(tensor.cosine_lr(F.col("id"), 1.0, 0.1, 7, 21)).collect()]
     assert rates[0] == 0 and rates[7] == 1.0 and close(rates[21:], [0.1] * 4) and close(rates[14:15], [0.55])

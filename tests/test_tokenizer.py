@@ -90,6 +90,66 @@ def test_both_encoders_agree_and_round_trip(spark):
         assert back == dict(enumerate(TEXTS))
 
 
+def plain_merge(word, ranks, ids):
+    """While any pair has a rank: all places of the lowest one, from the left."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while True:
+        ranked = [ranks.get(p) for p in zip(parts, parts[1:])]
+        lowest = min((r for r in ranked if r is not None), default=None)
+        if lowest is None:
+            return [ids[p] for p in parts]
+        out, k = [], 0
+        while k < len(parts):
+            both = k < len(ranked) and ranked[k] == lowest
+            out.append(parts[k] + parts[k + 1] if both else parts[k])
+            k += 2 if both else 1
+        parts = out
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(max_size=24).map(lambda b: bytes(97 + x % 3 for x in b)), st.permutations([(a, b) for a in (b"a", b"b", b"c", b"ab", b"aa", b"ba", b"aab") for b in (b"a", b"b", b"c", b"ab", b"ba")]))
+def test_merging_by_a_heap(word, merges):
+    """Any order of merges, those included that give a token of a lower rank later on."""
+    ranks = {p: k for k, p in enumerate(merges[:20])}
+    tokens = {bytes([b]) for b in b"abc"} | {a + b for a, b in ranks}
+    ranks = {p: k for p, k in ranks.items() if p[0] in tokens and p[1] in tokens}
+    ids = {t: k for k, t in enumerate(sorted(tokens))}
+    assert codec.merge_word(word, ranks, ids) == plain_merge(word, ranks, ids)
+
+
+def test_a_long_word_is_merged_in_time():
+    ranks, ids = {(b"a", b"a"): 0, (b"aa", b"aa"): 1}, {b"a": 0, b"aa": 1, b"aaaa": 2}
+    assert codec.merge_word(b"a" * 200_001, ranks, ids) == [2] * 50_000 + [0]
+
+
+def test_decoding_is_one_thing_for_any_vocabulary(spark):
+    small = train.Tokenizer(train.base_vocab([]), [])
+    large = train.Tokenizer(small.vocab | {5000 + k: b"far" for k in range(3)}, [])
+    rows = [(1, [65, 66]), (1, [67]), (2, None), (3, []), (4, [65, 9999, 195, 66]), (5, [-1, None, 226, 130]), (None, [72])]
+    docs = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2)
+    a, b = (sorted(map(tuple, codec.decode(docs, t).collect()), key=str) for t in (small, large))
+    assert a == b == sorted([(1, "AB"), (1, "C"), (2, None), (3, ""), (4, "A\ufffd\ufffdB"), (5, "\ufffd\ufffd\ufffd"), (None, "H")], key=str)
+
+
+def test_large_queries_by_brute_force(spark, tmp_path):
+    from quern.plans import catalog
+
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(12).write.parquet(f"{tmp_path}/{t}.parquet")
+    found = catalog._large(spark, str(tmp_path))
+    texts = [r["text"] for r in spark.read.parquet(f"{tmp_path}/benchmark.parquet").collect()]
+    assert found.merges == plain_train(texts, catalog.LARGE - 256)
+    ranks, ids = codec.usable_ranks(found), found.ids
+    want = {}
+    for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect():
+        parts = regex.split(f"({regex.escape(END_OF_TEXT * 2)}|{regex.escape(END_OF_TEXT)})", r["text"].replace("\n", END_OF_TEXT * 2))
+        want[r["doc_id"]] = [i for p in parts if p for w in ([p] if p in SPECIALS else regex.findall(PRETOKEN_PATTERN, p)) for i in ([ids[w.encode()]] if p in SPECIALS else plain_merge(w.encode(), ranks, ids))]
+    import hashlib
+
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_md5"]) for r in catalog.bpe_encode_large(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(v), hashlib.md5(" ".join(map(str, v)).encode()).hexdigest()) for k, v in want.items()}
+
+
 def test_null_text(spark):
     found = train.train(frame(spark, TEXTS), 260)
     docs = spark.createDataFrame([(1, None)], "doc_id long, text string")
