@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.batches import bounded
-from quern.sources.shared import keyed, spare, written
+from quern.sources.shared import if_few, keyed, spare, written
 
 BANDS, ROWS = 32, 5
 #: Bytes of text that are shingled together, unless one text has more.
@@ -253,8 +253,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     centres = held.join(met, "rep").groupBy("key").agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("a"))
     pairs = written(held.join(centres, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "pairs")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    inside = held.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(full_sets(texts.join(inside, "doc_id", "left_semi"), words), "sets")
+    inside = written(held.select(F.col("rep").alias("doc_id")).distinct(), "inside")
+    sets = written(full_sets(texts.join(if_few(inside), "doc_id", "left_semi"), words), "sets")
     labels = written(classes.select(F.col("rep").alias("v")).distinct().withColumn("c", F.col("v")), "labels")
     seen = written(compared(pairs, sets, percent), "seen")
     links = seen.where("linked").select("a", "b")
@@ -306,5 +306,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     rows = keyed(docs, row)
     found = components(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(row), "component_id")
     ids = rows.select(row, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", row).alias("id"))
-    first = found.join(ids, row).groupBy("component_id").agg(F.min("id").alias("id"))
-    return rows.join(first.select(F.col(f"id.{row}").alias(row)), row, "left_semi").select(*(f"`{c}`" for c in docs.columns))
+    placed = written(found.join(ids, row), "placed")
+    first = placed.groupBy("component_id").agg(F.min("id").alias("first"))
+    gone = written(placed.join(first, "component_id").where(F.col(f"first.{row}") != F.col(row)).select(row), "gone")
+    return rows.join(if_few(gone), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.batches import bounded
-from quern.sources.shared import keyed, written
+from quern.sources.shared import if_few, keyed, written
 
 ORDER = 5
 #: Runs of a shard at most: 16 bytes each, on the driver and in each worker.
@@ -45,8 +45,6 @@ MARGIN = 0.25
 NEW_TRIGRAMS, REPEATS, REPEATS_FLOOR = 20, 2.0, 0.1
 #: A language has thresholds of its own from so many documents left out of training.
 FEWEST = 50
-#: Trusted documents up to this number are broadcast as ids; more are joined by a shuffle.
-BROADCAST_IDS = 200_000
 
 _GAP = b"\n" * (ORDER - 1)  # each text starts after the same bytes
 
@@ -171,8 +169,7 @@ def shards(table: DataFrame, most: int = SHARD_RUNS) -> Iterator[Shard]:
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose label says quality 1. Their ids are broadcast while they are few."""
     good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()
-    side = F.broadcast(good) if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else good
-    return docs.select("doc_id", "text").join(side, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(if_few(good), "doc_id", "left_semi")
 
 
 def in_training(key: Column) -> Column:
