@@ -33,11 +33,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 _paths: list[str] = []
 
+#: Rows of a table of numbers that are broadcast at most; more are joined by a shuffle.
+FEW_ROWS = 300_000
 
-def release(spark: SparkSession) -> int:
-    """Deletes all tables written here so far, and tells how many. For when the results that read them
-    have been read or written elsewhere: later reads of those fail."""
-    found, _paths[:] = [*_paths], []
+
+def made() -> list[str]:
+    """The paths given out and not released, in order."""
+    return [*_paths]
+
+
+def release(spark: SparkSession, paths: Sequence[str] | None = None) -> int:
+    """Deletes tables written here, all of them or those at some paths, and tells how many. For when the
+    results that read them have been read or written elsewhere: later reads of those fail."""
+    found = [p for p in _paths if paths is None or p in set(paths)]
+    _paths[:] = [p for p in _paths if p not in set(found)]
     if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
         return 0
     for path in found:
@@ -45,6 +54,11 @@ def release(spark: SparkSession) -> int:
     return len(found)
 
 
+def if_few(numbers: DataFrame) -> DataFrame:
+    """A narrow table, marked to be broadcast if it has at most ``FEW_ROWS`` rows."""
+    return F.broadcast(numbers) if numbers.limit(FEW_ROWS + 1).count() <= FEW_ROWS else numbers
+
+
 def spare(name: str, taken: Sequence[str]) -> str:
     """A column name that is not taken, whatever its case."""
     while name.lower() in {t.lower() for t in taken}:
