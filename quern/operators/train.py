@@ -59,6 +59,11 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strate
     return Tokenizer(vocab, [(vocab[a], vocab[b]) for a, b, _ in pairs], list(specials), pairs)
 
 
+def train_preset(docs: DataFrame, name: str) -> Tokenizer:
+    """A tokenizer with the settings of that name."""
+    return train(docs, **PRESETS[name])
+
+
 def apply_merges(s: Column, pairs: Iterable[tuple[int, int, int]]) -> Column:
     """Replaces pairs of symbols in order of rank. Each replacement runs from the left and does not
     overlap. Valid for merges whose operands come before them, as learned here."""

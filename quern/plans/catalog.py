@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import tensor
+from quern.functions import network, tensor
 from quern.functions.text import END_OF_TEXT, split_specials, symbol_ids
-from quern.operators import arrays, codec, counting, metrics, sampling, train
+from quern.operators import arrays, codec, counting, metrics, optimiser, sampling, train
 from quern.sources import corpus, tokenizer_files
 
 #: Merges learned by the queries; the SQL of the oracle learns as many.
@@ -18,6 +19,8 @@ FEW_MERGES = 4
 #: Size of the vocabulary of the queries that encode with a long list of merges.
 LARGE = 1500
 BATCH = 32
+#: The small language model: layers, heads, the base of its rotary places, places of a window.
+LAYERS, HEADS, THETA, WINDOW = 2, 2, 10_000.0, 64
 SAMPLE, SEED = 50, 336
 CHUNKS, CONTEXT = 16, 8
 RATES = {"highest": 1.0, "lowest": 0.1, "warm_up": 7, "cycle": 21}
@@ -303,6 +306,67 @@ def attention_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id", _rounded(tensor.attention(F.col("x"), keys, keys, mask)).alias("y"))
 
 
+def _weights(rows: int, columns: int, seed: int) -> np.ndarray:
+    """A fixed matrix whose entries look unrelated."""
+    return np.sin(np.arange(rows * columns).reshape(rows, columns) * 1.7 + seed) / np.sqrt(columns)
+
+
+def _layer(width: int, inner: int, seed: int) -> network.Weights:
+    out = {f"attn.{n}_proj.weight": _weights(width, width, seed + k) for k, n in enumerate(("q", "k", "v", "output"))}
+    out |= {"ffn.w1.weight": _weights(inner, width, seed + 4), "ffn.w2.weight": _weights(width, inner, seed + 5), "ffn.w3.weight": _weights(inner, width, seed + 6)}
+    return out | {f"ln{k}.weight": 1 + 0.1 * _weights(1, width, seed + 6 + k)[0] for k in (1, 2)}
+
+
+def language_model() -> network.Weights:
+    """Fixed weights of a small model over bytes."""
+    out = {"token_embeddings.weight": _weights(256, 8, 1), "ln_final.weight": np.ones(8), "lm_head.weight": _weights(256, 8, 2)}
+    return out | {f"layers.{k}.{n}": w for k in range(LAYERS) for n, w in _layer(8, 16, 10 * k + 20).items()}
+
+
+def attention_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector as a sequence of eight places: two heads, without and with rotary places, and a whole layer."""
+    rows, weights = _vectors(spark, sf_dir), _layer(8, 16, 3)
+    for name, layer in (
+        ("plain", lambda x, w: network.self_attention(x.reshape(8, -1), HEADS, w)), ("rotary", lambda x, w: network.self_attention(x.reshape(8, -1), HEADS, w, THETA)),
+        ("block", lambda x, w: network.block(x.reshape(8, -1), HEADS, w, THETA)),
+    ):
+        rows = network.mapped(rows, "x", name, layer, weights)
+    return rows.select("vec_id", *(_rounded(F.col(n)).alias(n) for n in ("plain", "rotary", "block")))
+
+
+def lm_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean loss over the bytes of each benchmark item, in windows of ``WINDOW`` that follow each other."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    ids = codec.encode(items, train.Tokenizer(train.base_vocab([]), [], [], []))
+
+    def losses(x: np.ndarray, weights: network.Weights) -> np.ndarray:
+        out = []
+        for at in range(0, len(x) - 1, WINDOW):
+            seen, wanted = x[at : at + WINDOW][: len(x) - 1 - at], x[at + 1 : at + 1 + WINDOW]
+            scores = network.language_model(seen, LAYERS, HEADS, weights, THETA)
+            top = scores.max(axis=1)
+            out.append(np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top - scores[np.arange(len(wanted)), wanted])
+        return np.concatenate(out) if out else np.zeros(0)
+
+    told = network.mapped(ids, "ids", "losses", losses, language_model())
+    return told.select("doc_id", F.size("losses").cast("long").alias("n"), F.round(F.try_divide(tensor.total(F.col("losses")), F.size("losses")), 6).alias("loss"))
+
+
+def adamw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two steps over the entries of all vectors, each entry's square less a tenth as its gradient."""
+    rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("place", "value")).withColumns({"grad": F.col("value") * F.col("value") - 0.1, "m": F.lit(0.0), "v": F.lit(0.0)})
+    for step in (1, 2):
+        rows = optimiser.adamw_step(rows, step, 0.05)
+    return rows.select("vec_id", "place", F.round("value", 9).alias("value"), F.round("m", 9).alias("m"), F.round("v", 9).alias("v"))
+
+
+def bpe_preset_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of the smaller preset over all documents."""
+    found = train.train_preset(table(spark, sf_dir, "documents"), "small")
+    rows = [(k + 1, a.hex().upper(), b.hex().upper()) for k, (a, b) in enumerate(found.merges)]
+    return spark.createDataFrame(rows, "it int, l string, r string")
+
+
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors for a list of ids: a join that Spark broadcasts only if statistics allow."""
     ids = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") * 7).cast("long").alias("vec_id"))
@@ -323,7 +387,7 @@ def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     bpe_merges_local, bpe_merges_500, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
-    rope_embeddings, attention_embeddings, pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
+    rope_embeddings, attention_embeddings, attention_heads, lm_loss, adamw, bpe_preset_small, pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
     bpe_encode_docs, bpe_roundtrip, decode_unknown, compression_by_lang, tokenizer_compare, tokenization_summary, token_array, uint16_safe, longest_tokens,
     byte_unicode_map, reservoir_sample, hash_sample, chunk_boundaries, lm_batches, softmax_embeddings, silu_embeddings, rmsnorm_embeddings,
     cross_entropy_embeddings, linear_embeddings, embedding_lookup, grad_norm_clip, cosine_lr,

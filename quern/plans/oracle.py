@@ -131,6 +131,10 @@ select vec_id, {SQUASH.format("list_transform(x, lambda v, i: v * cos(p * power(
 s as (select *, list_sum(list_transform(x, lambda v: v * v)) / d a, list_sum(list_transform(x, lambda v, i: v * r[i])) / d b from e),
 m as (select *, greatest(a, b, case when vec_id % 2 = 0 then -a else -1e300 end) m from s), w as (select *, exp(a - m) wa, exp(b - m) wb, case when vec_id % 2 = 0 then exp(-a - m) else 0 end wc from m)
 select vec_id, {SQUASH.format("list_transform(x, lambda v, i: (wa * v + wb * r[i] - wc * v) / (wa + wb + wc))")} y from w""",
+    "adamw": f"""with e as (select vec_id, unnest(range(len(x)))::int place, unnest(x) x from {VEC}), g as (select *, x * x - 0.1::double g from e),
+a as (select *, 0.1::double * g m, 0.001::double * g * g v from g), b as (select *, x * (1 - 0.0005::double) - 0.05::double * (m / 0.1::double) / (sqrt(v / 0.001::double) + 1e-8) y from a),
+c as (select *, 0.9::double * m + 0.1::double * g m2, 0.999::double * v + 0.001::double * g * g v2 from b)
+select vec_id, place, round(y * (1 - 0.0005::double) - 0.05::double * (m2 / 0.19::double) / (sqrt(v2 / 0.001999::double) + 1e-8), 9) as "value", round(m2, 9) m, round(v2, 9) v from c""",
     "embedding_lookup": f"select n_nationkey, vec_id, {SQUASH.format('x')} y from nation join {VEC} on vec_id = n_nationkey * 7",
     "grad_norm_clip": f"""with n as (select sqrt(sum(list_sum(list_transform(x, lambda v: v * v)))) norm from {VEC})
 select vec_id, round(norm, 6) norm, round(list_sum(x) * case when norm > 1 then 1 / (norm + 1e-6) else 1 end, 9) clipped_sum from {VEC}, n""",

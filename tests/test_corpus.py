@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,82 @@ def test_contracts_over_long_vectors_take_linear_time(spark):
     assert seconds(4096) < 60  # 16 million steps if linear, 70 billion if not
 
 
+def looped_attention(x, heads, w, theta):
+    """Entry by entry."""
+    n, d = x.shape
+    size = d // heads
+    q, k, v = (np.array([[sum(w[f"attn.{name}_proj.weight"][j][i] * row[i] for i in range(d)) for j in range(d)] for row in x]) for name in "qkv")
+
+    def turn(row, place):
+        out = list(row)
+        for i in range(size // 2 if theta else 0):
+            a = place / theta ** (2 * i / size)
+            out[2 * i], out[2 * i + 1] = row[2 * i] * math.cos(a) - row[2 * i + 1] * math.sin(a), row[2 * i] * math.sin(a) + row[2 * i + 1] * math.cos(a)
+        return np.array(out)
+
+    joined = np.zeros((n, d))
+    for h in range(heads):
+        part = slice(h * size, (h + 1) * size)
+        for i in range(n):
+            scores = [turn(q[i, part], i) @ turn(k[j, part], j) / math.sqrt(size) for j in range(i + 1)]
+            odds = [math.exp(s - max(scores)) for s in scores]
+            joined[i, part] = sum(o * v[j, part] for j, o in enumerate(odds)) / sum(odds)
+    return joined @ w["attn.output_proj.weight"].T
+
+
+def test_network_layers(spark):
+    from quern.functions import network
+    from quern.plans import catalog
+
+    rng = np.random.default_rng(2)
+    x, w = rng.normal(size=(5, 8)), catalog._layer(8, 16, 1)
+    for theta in (None, 100.0):
+        assert np.allclose(network.self_attention(x, 2, w, theta), looped_attention(x, 2, w, theta))
+    norm = lambda y, g: np.array([row / math.sqrt(sum(v * v for v in row) / 8 + 1e-5) * g for row in y])
+    middle = x + looped_attention(norm(x, w["ln1.weight"]), 2, w, 100.0)
+    y = norm(middle, w["ln2.weight"])
+    gate = np.array([[sum(a * b for a, b in zip(row, u, strict=True)) for u in w["ffn.w1.weight"]] for row in y])
+    after = middle + (gate / (1 + np.exp(-gate)) * (y @ w["ffn.w3.weight"].T)) @ w["ffn.w2.weight"].T
+    assert np.allclose(network.block(x, 2, w, 100.0), after)
+    model = catalog.language_model()
+    ids = np.array([1, 2, 3, 250, 7])
+    whole = network.language_model(ids, 2, 2, model, 1e4)
+    assert whole.shape == (5, 256) and np.allclose(network.language_model(ids[:3], 2, 2, model, 1e4), whole[:3])  # no place sees a later one
+    rows = spark.createDataFrame([(1, x.ravel().tolist(), 0), (2, None, 0)], "id int, x array<double>, y int")
+    got = {r["id"]: r["y"] for r in network.mapped(rows, "x", "y", lambda v, u: network.block(v.reshape(5, 8), 2, u, 100.0), w).collect()}
+    assert got[2] is None and np.allclose(got[1], after.ravel())
+
+
+def test_losses_of_a_language_model(spark):
+    from quern.functions import network
+    from quern.plans import catalog
+
+    got = {r["doc_id"]: r for r in catalog.lm_loss(spark, "/root/testdata/sf0.001").collect()}
+    for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(5).collect():
+        raw, losses = r["text"].encode(), []
+        for at in range(0, len(raw) - 1, catalog.WINDOW):
+            seen = list(raw[at : min(at + catalog.WINDOW, len(raw) - 1)])
+            for k, scores in enumerate(network.language_model(np.array(seen), 2, 2, catalog.language_model(), catalog.THETA)):
+                losses.append(math.log(sum(math.exp(s) for s in scores)) - scores[raw[at + k + 1]])
+        assert got[r["item_id"]]["n"] == len(raw) - 1 and math.isclose(got[r["item_id"]]["loss"], sum(losses) / len(losses), abs_tol=1e-5)
+
+
+def test_optimiser_and_checkpoints(spark, tmp_path):
+    from quern.operators import optimiser
+
+    rows = spark.createDataFrame([("w", 0, 1.0, 0.5, 0.0, 0.0), ("w", 1, -2.0, None, 0.1, 0.2)], "name string, i int, value double, grad double, m double, v double")
+    for step in (1, 2, 3):
+        rows = optimiser.adamw_step(rows, step, 0.1)
+    value, m, v = 1.0, 0.0, 0.0
+    for step in (1, 2, 3):
+        m, v = 0.9 * m + 0.1 * 0.5, 0.999 * v + 0.001 * 0.25
+        value = value - 0.1 * 0.01 * value - 0.1 * (m / (1 - 0.9**step)) / (math.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    optimiser.save_checkpoint(rows, 3, f"{tmp_path}/c")
+    back, iteration = optimiser.load_checkpoint(spark, f"{tmp_path}/c")
+    got = {r["i"]: r for r in back.collect()}
+    assert iteration == 3 and close([got[0]["value"], got[0]["m"], got[0]["v"]], [value, m, v]) and tuple(got[1]) == ("w", 1, -2.0, None, 0.1, 0.2)
+
+
 def test_learning_rates(spark):
     rates = [r[0] for r in spark.range(25).select(tensor.cosine_lr(F.col("id"), 1.0, 0.1, 7, 21)).collect()]
     assert rates[0] == 0 and rates[7] == 1.0 and close(rates[21:], [0.1] * 4) and close(rates[14:15], [0.55])

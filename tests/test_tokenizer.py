@@ -57,6 +57,12 @@ def test_strategies_agree(spark):
     assert a.merges == b.merges and a.vocab == b.vocab and a.vocab[256] == END_OF_TEXT.encode()
 
 
+def test_presets(spark, monkeypatch):
+    monkeypatch.setitem(train.PRESETS, "small", {"vocab_size": 300, "specials": (END_OF_TEXT,)})
+    found = train.train_preset(frame(spark, TEXTS * 3), "small")
+    assert found.merges == plain_train(TEXTS * 3, 43) and found.vocab[256] == END_OF_TEXT.encode()
+
+
 def test_small_vocabularies_learn_nothing(spark):
     assert train.train(frame(spark, TEXTS), 200, SPECIALS).merges == []
     assert len(train.base_vocab(SPECIALS + SPECIALS)) == 258
