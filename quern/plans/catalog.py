@@ -12,6 +12,8 @@ from quern.functions import network, tensor
 from quern.functions.text import END_OF_TEXT, split_specials, symbol_ids
 from quern.operators import arrays, codec, counting, metrics, optimiser, sampling, train
 from quern.sources import corpus, tokenizer_files
+from quern.sources.shared import shared_path
+from quern.streaming import encode as stream
 
 #: Merges learned by the queries; the SQL of the oracle learns as many.
 MERGES = 12
@@ -91,6 +93,60 @@ def bpe_merges_500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "it int, l string, r string")
 
 
+def files_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after it was written as files, found behind a path that isn't there, and read with a special token."""
+    folder = shared_path(spark, "tokenizer")
+    tokenizer_files.save_tokenizer(spark, learned(table(spark, sf_dir, "documents")), folder)
+    found = [tokenizer_files.first_present(spark, [f"{folder}/older-{n}", f"{folder}/{n}"]) for n in ("vocab.json", "merges.txt")]
+    back = tokenizer_files.load_tokenizer(spark, *found, [END_OF_TEXT])
+    ranks = spark.createDataFrame([(back.ids[a + b], k) for k, (a, b) in enumerate(back.merges)], "token_id int, rank int")
+    return codec.vocab_frame(spark, back).select("token_id", F.hex("token").alias("token")).join(ranks, "token_id", "left")
+
+
+def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that arrive as files, encoded as a stream."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found, folder = learned(docs), shared_path(spark, "arrived")
+    docs.write.parquet(f"{folder}/in")
+    texts = stream.read_texts(spark, f"{folder}/in", docs.schema, 4)
+    stream.run_available(stream.encode_stream(texts, found), f"{folder}/out", f"{folder}/progress")
+    ids = codec.held(spark.read.parquet(f"{folder}/out"), "_ids", F.col("ids"))
+    return ids.select("doc_id", F.size("_ids").cast("long").alias("n_tokens"), F.md5(_told(F.col("_ids"))).alias("ids_md5"))
+
+
+def metrics_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of ``training_metrics``, written and read as JSON."""
+    record, path = training_metrics(spark, sf_dir), shared_path(spark, "metrics")
+    tokenizer_files.save_record(record, path)
+    return spark.read.schema(record.schema).json(path)
+
+
+def summary_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``tokenization_summary``, written and read as JSON."""
+    record, path = tokenization_summary(spark, sf_dir), shared_path(spark, "summary")
+    tokenizer_files.save_record(record, path)
+    return spark.read.schema(record.schema).json(path)
+
+
+def tokens_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of the benchmark items as a token array on files, its length checked, as runs of 16 places."""
+    items, path = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), shared_path(spark, "tokens")
+    expected = items.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"]
+    tokenizer_files.save_tokens(arrays.checked_uint16(arrays.token_array(items, train.Tokenizer(train.base_vocab([]), [], [], []), 256)), path, expected)
+    run = F.floor(F.col("pos") / 16).alias("run")
+    return spark.read.parquet(path).groupBy(run).agg(F.sum("token_id").alias("total"), F.count("*").alias("n"))
+
+
+def whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item written as a file of its own, read whole and by a range of bytes."""
+    path = shared_path(spark, "files")
+    items = table(spark, sf_dir, "benchmark").select(F.replace("text", F.lit("\n"), F.lit("\r")).alias("value"), "item_id")
+    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    at = F.regexp_extract("file", r"item_id=(\d+)/", 1).cast("long").alias("item_id")
+    part = corpus.read_range(spark, f"{path}/*/*.txt", 3, 20).select(at, F.col("text").alias("part"))
+    return corpus.read_whole(spark, f"{path}/*/*.txt").select(at, "text").join(part, "item_id")
+
+
 def pair_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index: each pair of bytes with every word that holds it."""
     words = counting.word_table(pretoken_counts(spark, sf_dir))
@@ -218,7 +274,8 @@ def tokenization_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def token_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = learned(docs)
-    return arrays.token_array(docs, found, end=256 + MERGES)
+    closed = codec.with_specials(found, [END_OF_TEXT])
+    return arrays.token_array(docs, found, end=codec.end_id(closed, END_OF_TEXT))
 
 
 def uint16_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,10 +410,13 @@ def lm_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adamw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two steps over the entries of all vectors, each entry's square less a tenth as its gradient."""
+    """Two steps over the entries of all vectors, each entry's square less a tenth as its gradient; between
+    them the state goes to a checkpoint and comes from there."""
     rows = _vectors(spark, sf_dir).select("vec_id", F.posexplode("x").alias("place", "value")).withColumns({"grad": F.col("value") * F.col("value") - 0.1, "m": F.lit(0.0), "v": F.lit(0.0)})
-    for step in (1, 2):
-        rows = optimiser.adamw_step(rows, step, 0.05)
+    path = shared_path(spark, "checkpoint")
+    optimiser.save_checkpoint(optimiser.adamw_step(rows, 1, 0.05), 1, path)
+    saved, step = optimiser.load_checkpoint(spark, path)
+    rows = optimiser.adamw_step(saved, step + 1, 0.05)
     return rows.select("vec_id", "place", F.round("value", 9).alias("value"), F.round("m", 9).alias("m"), F.round("v", 9).alias("v"))
 
 
@@ -386,7 +446,7 @@ def cosine_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    bpe_merges_local, bpe_merges_500, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
+    bpe_merges_local, bpe_merges_500, files_roundtrip, stream_encode, metrics_file, summary_file, tokens_file, whole_files, pair_words, special_drop, bpe_encode_large, bpe_roundtrip_large, training_metrics, decode_range, lm_drawn, swiglu_embeddings,
     rope_embeddings, attention_embeddings, attention_heads, lm_loss, adamw, bpe_preset_small, pretoken_stream, pretoken_counts, special_split, corpus_split, byte_pair_counts, best_pair, inverted_index, bpe_merges, bpe_vocab, bpe_words,
     bpe_encode_docs, bpe_roundtrip, decode_unknown, compression_by_lang, tokenizer_compare, tokenization_summary, token_array, uint16_safe, longest_tokens,
     byte_unicode_map, reservoir_sample, hash_sample, chunk_boundaries, lm_batches, softmax_embeddings, silu_embeddings, rmsnorm_embeddings,
