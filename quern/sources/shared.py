@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,10 +67,26 @@ def spare(name: str, taken: Sequence[str]) -> str:
     return name
 
 
+#: What a worker is sent at once while a table is written: executors hold each batch more than once.
+ARROW_BYTES, _ARROW_KEY = "8m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``ARROW_BYTES`` to Python workers in the jobs that start here."""
+    before = spark.conf.get(_ARROW_KEY, None)
+    spark.conf.set(_ARROW_KEY, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW_KEY) if before is None else spark.conf.set(_ARROW_KEY, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of a plan, written as Parquet to the shared folder and read from there."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
