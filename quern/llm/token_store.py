@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quern.llm import simple8b
 from quern.llm.batches import bounded
 from quern.llm.pieces import memory_of
+from quern.sources.shared import small_batches
 
 #: Ids of a block, unless its last document is longer.
 BLOCK_IDS = 1 << 17
@@ -77,7 +78,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | No
         if held:
             yield full()
 
-    ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "none").parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(blocks, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
