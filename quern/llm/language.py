@@ -103,15 +103,21 @@ def grams(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(counted, _COUNT).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _by_language(lang: Column, values: dict[str, float], other: Column) -> Column:
+    """The value of a row's language; ``other`` for the rest. One flat expression of as many branches."""
+    out = F
+    for name, value in values.items():
+        out = out.when(lang == name, value)
+    return out.otherwise(other) if values else other
+
+
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """Whole documents with a language, about ``per_language`` of each, by a hash of the doc_id."""
     ready = docs.where("lang is not null and text is not null and doc_id is not null")
     totals = {r["lang"]: r["n"] for r in ready.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"lang has more than {MOST_LANGUAGES} different values")
-    share = F.lit(0)
-    for lang, n in totals.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, per_language / n) * (1 << 20))).otherwise(share)
+    share = _by_language(F.col("lang"), {lang: int(min(1.0, per_language / n) * (1 << 20)) for lang, n in totals.items()}, F.lit(0))
     return ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
 
 
@@ -243,9 +249,7 @@ def recognised(docs: DataFrame, model: Model | None, rates: dict[str, float], sc
     of the others; without any, texts are not called far."""
     new = tuple(spare(n, docs.columns) for n in ("lang_pred", "score", "bits"))
     named_as, sure, bits = map(F.col, new)
-    usual = F.lit(sum(rates.values()) / len(rates) if rates else None).cast("double")
-    for lang, rate in rates.items():
-        usual = F.when(named_as == lang, rate).otherwise(usual)
+    usual = _by_language(named_as, rates, F.lit(sum(rates.values()) / len(rates) if rates else None).cast("double"))
     size = F.octet_length("text")
     near = F.coalesce(bits + SLACK * usual <= FAR * usual * (size + SLACK), F.lit(True))
     return _told(docs, model, new).where((named_as != UNKNOWN) & (sure >= score) & near).select(*(f"`{c}`" for c in docs.columns))

@@ -220,7 +220,7 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = written(_between(first.select("ca", "cb")), "edges")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("to")).where("to < a")
+        least = written(both.groupBy("a").agg(F.min("b").alias("to")).where("to < a"), "least")  # written: joins split where many move to one
         jump = least.join(least.select(F.col("a").alias("to"), F.col("to").alias("far")), "to", "left")
         moves = written(jump.select(F.col("a").alias("at"), F.coalesce("far", "to").alias("to")), "moves")
         labels = written(labels.join(moves.withColumnRenamed("at", "c"), "c", "left").select("v", F.coalesce("to", "c").alias("c")), "labels")
