@@ -14,9 +14,27 @@ import pyarrow.compute as pc
 BATCH_BYTES = 4 << 20
 
 
+#: Fixed values of the C library's mallopt: number of arenas, size from which a block is mapped by itself, free
+#: bytes at the top of the heap that are kept.
+_ARENAS, _MAPPED_FROM, _KEPT_AT_TOP = -8, -3, -1
+_settled: list[bool] = []
+
+
+def _settle() -> None:
+    """Once in a worker: large blocks go back to the system when they are freed, not to pools for later."""
+    if not _settled:
+        _settled.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+            library = ctypes.CDLL(None)
+            for what, value in ((_ARENAS, 1), (_MAPPED_FROM, 1 << 20), (_KEPT_AT_TOP, 1 << 20)):
+                library.mallopt(what, value)
+
+
 def bounded(source: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of a task in batches of at most ``most`` bytes in a column of strings. At the end, what the
     allocators hold for later goes back to the system: the worker may be idle for long."""
+    _settle()
     try:
         for batch in source:
             sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0)
@@ -31,6 +49,7 @@ def bounded(source: Iterator[pa.RecordBatch], column: str = "text", most: int =
 
 
 def give_back() -> None:
+    """Returns what the allocators hold for later."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of pieces and their ids that a worker remembers; beyond it, it forgets all of them.
-REMEMBERED_BYTES = 32 << 20
+REMEMBERED_BYTES = 24 << 20
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Bytes of text that are cut and looked up together, unless one text has more.
