@@ -50,7 +50,9 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strate
     vocab = base_vocab(specials)
     if vocab_size <= len(vocab):
         return Tokenizer(vocab, [], list(specials), [])
-    words = cut_lineage(word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1))  # counted once, whatever the rounds
+    words = word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1)
+    if strategy != "local":
+        words = cut_lineage(words)  # counted once, whatever the rounds
     if strategy == "auto":
         few = vocab_size - len(vocab) <= 32
         strategy = "rounds" if few or words.count() > local_words else "local"

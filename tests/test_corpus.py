@@ -276,11 +276,3 @@ def test_optimiser_and_checkpoints(spark, tmp_path):
 def test_learning_rates(spark):
     rates = [r[0] for r in spark.range(25).select(tensor.cosine_lr(F.col("id"), 1.0, 0.1, 7, 21)).collect()]
     assert rates[0] == 0 and rates[7] == 1.0 and close(rates[21:], [0.1] * 4) and close(rates[14:15], [0.55])
-
-
-def test_batches_are_small_only_while_a_table_is_written(spark):
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    with shared.small_batches(spark):
-        assert spark.conf.get(key) == shared.ARROW_BYTES
-    assert shared.written(spark.range(5), "small").count() == 5 and spark.conf.get(key) == before
