@@ -31,7 +31,7 @@ ORDER = 5
 #: Runs of a shard at most: 16 bytes each, on the driver and in each worker.
 SHARD_RUNS = 2_000_000
 #: Bytes of text whose runs are taken together.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 #: Of trusted documents, the share that trains; the rest sets thresholds.
 FOLDS = 5
 #: A document's score is shrunk towards its language's mean as if it had so many more bytes.
