@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import END_OF_TEXT, symbol, symbol_id
 from quern.operators.counting import pair_counts, pretoken_counts, word_table
+from quern.operators.shares import learn_here, learn_spread, slots
 from quern.sources.shared import cut_lineage
 
 #: Named settings: vocabulary sizes for a small and a large corpus.
@@ -43,21 +43,30 @@ def train(docs: DataFrame, vocab_size: int, specials: Sequence[str] = (), strate
     """Learns merges until the vocabulary has ``vocab_size`` entries or no pair is left.
 
     Counting is one distributed aggregate. ``rounds`` then merges on the distributed word table, a
-    batch of provably independent merges a job. ``local`` merges on the driver. ``auto`` takes
-    ``rounds`` for a few merges; for more it counts the distinct words first and takes ``local``
-    only up to ``local_words``. Results are the same.
+    batch of provably independent merges a job. ``spread`` merges in tasks that run together, each with
+    a share of the words. ``local`` merges on the driver, but more than ``local_words`` distinct words,
+    or more than 16 times as many bytes, as ``spread`` does. ``auto`` takes ``rounds`` for a few merges,
+    ``local`` for more. Where tasks can't be had together, ``rounds`` stands for ``spread``. Results are
+    the same.
     """
     vocab = base_vocab(specials)
     if vocab_size <= len(vocab):
         return Tokenizer(vocab, [], list(specials), [])
     words = word_table(pretoken_counts(docs, specials)).where(F.length("s") > 1)
-    if strategy != "local":
-        words = cut_lineage(words)  # counted once, whatever the rounds
+    words = cut_lineage(words)  # counted once, whatever the rounds
     if strategy == "auto":
-        few = vocab_size - len(vocab) <= 32
-        strategy = "rounds" if few or words.count() > local_words else "local"
-    learn = _learn_local if strategy == "local" else _learn_rounds
-    pairs = learn(words, vocab, vocab_size)
+        strategy = "rounds" if vocab_size - len(vocab) <= 32 else "local"
+    size = words.agg(F.count("*").alias("words"), F.coalesce(F.sum(F.length("s")), F.lit(0)).alias("symbols")).first()
+    if strategy == "local" and (size["words"] > local_words or size["symbols"] > 16 * local_words):
+        strategy = "spread"
+    if strategy == "spread" and not slots(words):
+        strategy = "rounds"
+    if strategy == "rounds":
+        pairs = _learn_rounds(words, vocab, vocab_size)
+    else:
+        pairs = learn_here(words, vocab, vocab_size) if strategy == "local" else learn_spread(words, vocab, vocab_size, size["symbols"])
+        for a, b, new in pairs:
+            vocab[new] = vocab[a] + vocab[b]
     return Tokenizer(vocab, [(vocab[a], vocab[b]) for a, b, _ in pairs], list(specials), pairs)
 
 
@@ -74,91 +83,10 @@ def apply_merges(s: Column, pairs: Iterable[tuple[int, int, int]]) -> Column:
     return s
 
 
-class _Falling:
-    """Orders bytes pairs from the greatest down, for a heap."""
-
-    __slots__ = ("pair",)
-
-    def __init__(self, pair: tuple[bytes, bytes]):
-        self.pair = pair
-
-    def __lt__(self, other: _Falling) -> bool:
-        return self.pair > other.pair
-
-
-def _learn_local(words: DataFrame, vocab: dict[int, bytes], vocab_size: int) -> list[tuple[int, int, int]]:
-    """Merges over one flat array of symbols, linked so that a merge touches only its places."""
-    syms: list[int] = []
-    weight: list[int] = []
-    after: list[int] = []
-    before: list[int] = []
-    for s, n in _rows(words):
-        start = len(syms)
-        symbols = s.encode("latin-1")
-        syms.extend(symbols)
-        size = len(symbols)
-        weight.extend([n] * size)
-        before.extend([-1, *range(start, start + size - 1)])
-        after.extend([*range(start + 1, start + size), -1])
-    places: dict[tuple[int, int], set[int]] = defaultdict(set)
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    for i, j in enumerate(after):
-        if j >= 0:
-            places[syms[i], syms[j]].add(i)
-            count[syms[i], syms[j]] += weight[i]
-    queue = [(-c, _Falling((vocab[p[0]], vocab[p[1]])), p) for p, c in count.items()]
-    heapq.heapify(queue)
-    learned: list[tuple[int, int, int]] = []
-    while len(vocab) < vocab_size and queue:
-        c, _, pair = heapq.heappop(queue)
-        if count.get(pair) != -c or not c:
-            continue  # an entry from before a change
-        new = len(vocab)
-        vocab[new] = vocab[pair[0]] + vocab[pair[1]]
-        learned.append((*pair, new))
-        changed = set()
-
-        def shift(i: int, by: int) -> None:
-            """Adds or takes away the pair that starts at a place."""
-            p = (syms[i], syms[after[i]])
-            count[p] += by * weight[i]
-            (places[p].add if by > 0 else places[p].discard)(i)
-            changed.add(p)
-
-        for i in sorted(places.pop(pair)):
-            j = after[i]
-            if syms[i] != pair[0] or j < 0 or syms[j] != pair[1]:
-                continue  # overlapped by the merge before it
-            if before[i] >= 0:
-                shift(before[i], -1)
-            if after[j] >= 0:
-                shift(j, -1)
-            count[pair] -= weight[i]
-            syms[i], syms[j], after[i] = new, -1, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-                shift(i, 1)
-            if before[i] >= 0:
-                shift(before[i], 1)
-        count.pop(pair, None)
-        places.pop(pair, None)
-        for p in changed - {pair}:
-            if count[p] > 0:
-                heapq.heappush(queue, (-count[p], _Falling((vocab[p[0]], vocab[p[1]])), p))
-            else:
-                del count[p], places[p]
-    return learned
-
-
 def _ids(pair: str) -> tuple[int, int]:
     return symbol_id(pair[0]), symbol_id(pair[1])
 
 
-def _rows(words: DataFrame) -> Iterable[tuple[str, int]]:
-    table = words.select("s", "n").toArrow()
-    return zip(table["s"].to_pylist(), table["n"].to_pylist(), strict=True)
-
-
 def _learn_rounds(words: DataFrame, vocab: dict[int, bytes], vocab_size: int, cut_every: int = 64) -> list[tuple[int, int, int]]:
     """A job a round: words that hold a pair of the batch give up old pairs and gain new ones; the
     sums change the pair counts, which the vocabulary bounds, not the corpus."""

@@ -2,13 +2,14 @@
 
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quern.functions.text import END_OF_TEXT, PRETOKEN_PATTERN
-from quern.operators import codec, train
+from quern.operators import codec, shares, train
 from quern.operators.counting import pretoken_counts, pretoken_stream
 
 SPECIALS = [END_OF_TEXT, END_OF_TEXT * 2]
@@ -63,6 +64,33 @@ def test_presets(spark, monkeypatch):
     assert found.merges == plain_train(TEXTS * 3, 43) and found.vocab[256] == END_OF_TEXT.encode()
 
 
+@pytest.mark.parametrize("strategy", ["auto", "local"])
+def test_many_words_are_merged_by_tasks_together(spark, monkeypatch, strategy):
+    """Neither by a job for each round nor on the driver."""
+    for name in ("_learn_rounds", "learn_here"):
+        monkeypatch.setattr(train, name, None)
+    monkeypatch.setattr(shares, "SHARE", 40)
+    found = train.train(frame(spark, TEXTS * 3), 256 + 41, [END_OF_TEXT], strategy, local_words=5)
+    assert found.merges == plain_train(TEXTS * 3, 40) and [found.vocab[a] + found.vocab[b] for a, b, _ in found.pairs] == [found.vocab[new] for _, _, new in found.pairs]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.dictionaries(st.binary(min_size=1, max_size=14).map(lambda b: bytes(97 + x % 3 for x in b)), st.integers(1, 9), max_size=20), st.sampled_from([1, 3, 5_000]), st.sampled_from([1, 4, 1 << 17]))
+def test_shares_learn_what_plain_counts_tell(words, ordered, late):
+    vocab = train.base_vocab([])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(shares, "ORDERED", ordered)
+        patch.setattr(shares, "LATE", late)
+        parts = [[pa.RecordBatch.from_arrays([pa.array([w], pa.binary()), pa.array([n], pa.int64())], names=["word", "n"]) for w, n in list(words.items())[k::3]] for k in range(3)]
+        held, chooser = [shares.Share(p, vocab, 296) for p in parts], shares.Chooser(vocab, 296)
+        chooser.add([s.pairs() for s in held])
+        learned = []
+        while batch := chooser.batch():
+            learned += batch
+            chooser.add([s.merge(batch) for s in held])
+    assert [(chooser.vocab[a], chooser.vocab[b]) for a, b, _ in learned] == plain_train([w.decode() for w, n in words.items() for _ in range(n)], 40)
+
+
 def test_small_vocabularies_learn_nothing(spark):
     assert train.train(frame(spark, TEXTS), 200, SPECIALS).merges == []
     assert len(train.base_vocab(SPECIALS + SPECIALS)) == 258
