@@ -80,7 +80,7 @@ def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_merges_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same merges, learned on the driver from the distinct words."""
+    """The same merges, learned on the driver from the distinct words; from many, by tasks that run together."""
     found = train.train(table(spark, sf_dir, "documents"), 256 + MERGES, strategy="local")
     rows = [(k + 1, a.hex().upper(), b.hex().upper()) for k, (a, b) in enumerate(found.merges)]
     return spark.createDataFrame(rows, "it int, l string, r string")
