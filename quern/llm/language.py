@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.batches import bounded
-from quern.sources.shared import spare
+from quern.sources.shared import spare, written
 
 ORDER = 3
 #: Documents of each language that training expects to see: the bound of its sample.
@@ -121,13 +121,22 @@ def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     return ready.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE) -> Model | None:
+def labelled(docs: DataFrame) -> DataFrame:
+    """Every document with text and lang."""
+    return docs.where("lang is not null and text is not null")
+
+
+def fit(docs: DataFrame, per_language: int | None = SAMPLE) -> Model | None:
     """A model from documents with text and lang; None if there are none.
 
-    The sample is bounded per language, so the counts that reach the driver are too. Null texts and
-    languages are left out.
+    The sample is bounded per language, so the counts that reach the driver are too; with None for
+    ``per_language`` all documents count, and what reaches the driver follows the different runs of
+    ORDER + 1 bytes. Null texts and languages are left out.
     """
-    found = grams(sample(docs, per_language)).toArrow()
+    chosen = labelled(docs) if per_language is None else sample(docs, per_language)
+    found = grams(chosen).toArrow()
+    if found.num_rows and len(found["lang"].unique()) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} different values")
     languages = sorted(set(found["lang"].to_pylist()))
     if not languages:
         return None
@@ -236,23 +245,43 @@ def _told(docs: DataFrame, model: Model | None, new: tuple[str, str, str]) -> Da
 
 
 def typical(docs: DataFrame, model: Model | None) -> dict[str, float]:
-    """Median bits a byte of each language's held-out texts, as the model names it. A median stands while fewer
-    than half of a language's texts are junk."""
-    told = _told(sample(docs).select("text"), model, ("lang_pred", "score", "bits")).where(F.col("lang_pred") != UNKNOWN)
-    rate = F.col("bits") / F.octet_length("text")
-    return {r["lang_pred"]: r["m"] for r in told.groupBy("lang_pred").agg(F.percentile_approx(rate, 0.5, 10_000).alias("m")).collect()}  # a row for each language
+    """Median bits a byte of each language's held-out texts, all of them, as the model names it. A median stands
+    while fewer than half of a language's texts are junk."""
+    new = ("lang_pred", "score", "bits")
+    return _medians(_told(labelled(docs).select("text"), model, new), new)
+
+
+def _medians(told: DataFrame, new: tuple[str, str, str]) -> dict[str, float]:
+    named_as, _, bits = (F.col(n) for n in new)
+    rates = told.where(named_as != UNKNOWN).groupBy(named_as.alias("k")).agg(F.percentile_approx(bits / F.octet_length("text"), 0.5, 10_000).alias("m"))
+    return {r["k"]: r["m"] for r in rates.collect()}  # a row for each language
 
 
 def recognised(docs: DataFrame, model: Model | None, rates: dict[str, float], score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` in a language that the model knows: named with at least ``score``, and not
     ``FAR`` from that language's typical bits a byte. A language without held-out texts has the mean
     of the others; without any, texts are not called far."""
-    new = tuple(spare(n, docs.columns) for n in ("lang_pred", "score", "bits"))
+    new = _new(docs)
+    return _near(_told(docs, model, new), new, rates, score)
+
+
+def known(docs: DataFrame, model: Model | None, score: float = 0.5) -> DataFrame:
+    """As ``recognised`` with what is ``typical`` of ``docs`` themselves; each text is coded once."""
+    new = _new(docs)
+    told = written(_told(docs, model, new), "told")
+    return _near(told, new, _medians(labelled(told), new), score)
+
+
+def _new(docs: DataFrame) -> tuple[str, str, str]:
+    return tuple(spare(n, docs.columns) for n in ("lang_pred", "score", "bits"))
+
+
+def _near(told: DataFrame, new: tuple[str, str, str], rates: dict[str, float], score: float) -> DataFrame:
     named_as, sure, bits = map(F.col, new)
     usual = _by_language(named_as, rates, F.lit(sum(rates.values()) / len(rates) if rates else None).cast("double"))
     size = F.octet_length("text")
     near = F.coalesce(bits + SLACK * usual <= FAR * usual * (size + SLACK), F.lit(True))
-    return _told(docs, model, new).where((named_as != UNKNOWN) & (sure >= score) & near).select(*(f"`{c}`" for c in docs.columns))
+    return told.where((named_as != UNKNOWN) & (sure >= score) & near).select(*(f"`{c}`" for c in told.columns if c not in new))
 
 
 def in_fold(docs: DataFrame, folds: int) -> Column:

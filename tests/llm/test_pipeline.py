@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from quern.llm import language
 from test_operators import checked_packs, plain_components
 
 FOLDER = str(DATA / "sf0.001")
@@ -80,3 +81,16 @@ def test_language_stage_rejects_what_is_in_no_language(spark):
     clean = {r["doc_id"] for r in docs.join(labels.where("quality = 1"), "doc_id").where("text rlike '[A-Za-z]'").collect()}
     assert len(clean - ids) <= 0.005 * len(clean)
     assert not [t for i, t, _ in rows if i in ids]
+
+
+def test_language_stage_learns_from_all_documents(spark, monkeypatch):
+    """No sample: neither of the documents that a model learns from nor of those that tell what is typical."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).select("doc_id", "text", "lang").cache()
+    half = language.in_fold(docs, folds=2)
+    want = set()
+    for own, other in ((docs.where(half), docs.where(~half)), (docs.where(~half), docs.where(half))):
+        model = language.fit(other, 10**9)
+        want |= {r["doc_id"] for r in language.recognised(own, model, language.typical(own, model)).collect()}
+    monkeypatch.setattr(language, "sample", None)
+    rows = corpus_pipeline.language_stage(spark, docs, FOLDER)
+    assert rows.columns == docs.columns and {r["doc_id"] for r in rows.collect()} == want
