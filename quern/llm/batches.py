@@ -31,10 +31,24 @@ def _settle() -> None:
                 library.mallopt(what, value)
 
 
-def bounded(source: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+_kept: list[dict] = []
+
+
+def kept() -> dict:
+    """A place for what a worker keeps from task to task. It is emptied when a task begins that doesn't use it:
+    a worker serves one query after another, and would hold the tables of all of them."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def bounded(source: Iterator[pa.RecordBatch], column: str = "text", most: int = BATCH_BYTES, uses: tuple[dict, ...] = ()) -> Iterator[pa.RecordBatch]:
     """The rows of a task in batches of at most ``most`` bytes in a column of strings. At the end, what the
-    allocators hold for later goes back to the system: the worker may be idle for long."""
+    allocators hold for later goes back to the system: the worker may be idle for long. Of what is ``kept``,
+    only what the task ``uses`` stays."""
     _settle()
+    for place in _kept:
+        if not any(place is used for used in uses):
+            place.clear()
     try:
         for batch in source:
             sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.names.index(column))), 0)

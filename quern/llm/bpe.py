@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quern.llm.batches import bounded
+from quern.llm.batches import bounded, kept
 from quern.llm.pieces import LONGEST, PieceMemory
 
 _BITS = 8  # ranks of a block, as bits
@@ -122,8 +122,8 @@ class RankTokens:
         return np.array(found, "<u4")
 
 
-_encoders: dict[tuple[str, str], PieceMemory] = {}
-_tables: dict[str, list[bytes]] = {}
+_encoders: dict[tuple[str, str], PieceMemory] = kept()
+_tables: dict[str, list[bytes]] = kept()
 
 
 def _encoder(path: str, pattern: str) -> PieceMemory:
@@ -143,7 +143,7 @@ def _table(path: str) -> list[bytes]:
 
 def _encoded(source: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     memory = _encoder(path, pattern)
-    for batch in bounded(source):
+    for batch in bounded(source, uses=(_encoders, _tables)):
         ids = memory.texts(batch.column("text"))
         sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sizes, pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])

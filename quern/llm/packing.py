@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.batches import bounded
-from quern.llm.pieces import memory_of
+from quern.llm.pieces import MEMORIES, memory_of
 from quern.sources.shared import written
 
 #: Intervals of a plan that are broadcast, 40 bytes each; more are joined by a shuffle. They follow the
@@ -43,7 +43,7 @@ def cut(docs: DataFrame, tokenizer: str, end: int, capacity: int) -> DataFrame:
 
     def pieces(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = memory_of(tokenizer)
-        for batch in bounded(source):
+        for batch in bounded(source, uses=(MEMORIES,)):
             rows = []
             for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text")), strict=True):
                 view = memoryview(ids + closing)

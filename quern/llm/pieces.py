@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm.batches import kept
+
 #: Bytes of pieces and their ids that a worker remembers; beyond it, it forgets all of them.
 REMEMBERED_BYTES = 24 << 20
 #: Longer pieces are not remembered.
@@ -204,11 +206,11 @@ class LibraryTokens:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
 
-_memories: dict[str, PieceMemory] = {}
+MEMORIES: dict[str, PieceMemory] = kept()
 
 
 def memory_of(path: str) -> PieceMemory:
-    """The worker's memory for a tokenizer file, bounded by ``REMEMBERED_BYTES``."""
-    if path not in _memories:
-        _memories[path] = PieceMemory(LibraryTokens(path))
-    return _memories[path]
+    """The worker's memory for a tokenizer file, bounded by ``REMEMBERED_BYTES``. A task that asks for it uses ``MEMORIES``."""
+    if path not in MEMORIES:
+        MEMORIES[path] = PieceMemory(LibraryTokens(path))
+    return MEMORIES[path]

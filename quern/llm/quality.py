@@ -71,16 +71,16 @@ def runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _group(held: list[bytes], owners: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(held), np.uint8)
-    code = np.zeros(len(raw) - ORDER + 1, np.int64)
-    for k in range(ORDER):
-        code <<= 8
-        code |= raw[k : k + len(code)]
     sizes = np.array([len(t) for t in held], np.int64)
     starts = np.cumsum(sizes) - sizes
-    inside = np.ones(len(raw), bool)  # a run that begins in one text's end belongs to none
+    inside = np.ones(len(raw) - ORDER + 1, bool)  # a run that begins in one text's end belongs to none
     for k in range(1, ORDER):
         inside[(starts[1:] - k)] = False
-    return code[inside[: len(code)]], np.array(owners), sizes - ORDER + 1
+    code = np.zeros(np.count_nonzero(inside), np.int64)
+    for k in range(ORDER):
+        code <<= 8
+        code |= raw[k : k + len(inside)][inside]
+    return code, np.array(owners), sizes - ORDER + 1
 
 
 def run_counts(docs: DataFrame) -> DataFrame:
@@ -143,19 +143,39 @@ def model(counts: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Some runs of a model. ``bits`` is what they give to the code length of each run asked for."""
+    """Some runs of a model, sorted. ``bits`` is what they give to the code length of each run asked for."""
 
     def __init__(self, key: np.ndarray, adds: np.ndarray, backs: np.ndarray, first: bool):
-        self.key, self.adds, self.backs, self.first = key, np.append(adds, 0).astype(np.float32), np.append(backs, 0).astype(np.float32), first
-
-    def _at(self, keys: np.ndarray) -> np.ndarray:
-        return pc.fill_null(pc.index_in(pa.array(keys), value_set=pa.array(self.key)), len(self.key)).to_numpy(zero_copy_only=False)
+        order = np.argsort(key)
+        self.key, self.adds, self.backs, self.first = key[order], adds[order].astype(np.float32), backs[order].astype(np.float32), first
+
+    def _found(self, runs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the runs of a length are in the table, in the order of their numbers, and their rows."""
+        mark = 1 << 8 * order
+        low, high = np.searchsorted(self.key, [mark, mark << 8])
+        own, asked = self.key[low:high], np.argsort(runs)
+        keys = runs[asked] + mark
+        at = np.searchsorted(own, keys)
+        hit = at < len(own)
+        hit[hit] = own[at[hit]] == keys[hit]
+        return asked[hit], low + at[hit]
 
     def bits(self, asked: np.ndarray) -> np.ndarray:
-        ends = [(asked & ((1 << 8 * k) - 1)) + (1 << 8 * k) for k in range(1, ORDER + 1)]
-        contexts = [((asked >> 8) & ((1 << 8 * k) - 1)) + (1 << 8 * k) for k in range(ORDER)]
-        at = self._at(np.concatenate(ends + contexts)).reshape(2 * ORDER, -1)
-        return (8.0 if self.first else 0.0) - self.adds[at[:ORDER]].sum(axis=0, dtype=np.float64) - self.backs[at[ORDER:]].sum(axis=0, dtype=np.float64)
+        """Runs of a length are looked up once each: those of ``ORDER`` bytes, then their different ends, and so
+        on down to nothing. Those lengths but the first are contexts too, of what follows."""
+        coded = pa.array(asked).dictionary_encode()
+        different = coded.dictionary.to_numpy()
+        told = (8.0 if self.first else 0.0) - self._sums(different, ORDER, self.adds) - self._sums(different >> 8, ORDER - 1, self.backs)
+        return told[coded.indices.to_numpy()]
+
+    def _sums(self, runs: np.ndarray, order: int, values: np.ndarray) -> np.ndarray:
+        """For each run, the values of it and of all its ends."""
+        coded = pa.array(runs).dictionary_encode()
+        different, of = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        out = self._sums(different & ((1 << 8 * (order - 1)) - 1), order - 1, values) if order else np.zeros(len(different))
+        hit, at = self._found(different, order)
+        out[hit] += values[at]
+        return out[of]
 
 
 def shards(table: DataFrame, most: int = SHARD_RUNS) -> Iterator[Shard]:
@@ -192,9 +212,8 @@ def repeats(text: bytes) -> float:
 def _sums(texts: list[bytes], shard: Shard) -> np.ndarray:
     out = np.zeros(len(texts))
     for found, owners, sizes in runs(texts):
-        coded = pa.array(found).dictionary_encode()
-        bits = shard.bits(coded.dictionary.to_numpy())[coded.indices.to_numpy()]
-        np.add.at(out, owners, np.add.reduceat(bits, np.cumsum(sizes) - sizes))
+        np.add.at(out, owners, np.add.reduceat(shard.bits(found), np.cumsum(sizes) - sizes))
+        del found  # before the next group's are made
     return out
 
 

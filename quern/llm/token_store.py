@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import simple8b
 from quern.llm.batches import bounded
-from quern.llm.pieces import memory_of
+from quern.llm.pieces import MEMORIES, memory_of
 
 #: Ids of a block, unless its last document is longer.
 BLOCK_IDS = 1 << 17
@@ -66,7 +66,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int, shards: int | No
             return pa.RecordBatch.from_pylist([row], schema=_BLOCKS)
 
         memory, size = memory_of(tokenizer), 0
-        for batch in bounded(source):
+        for batch in bounded(source, uses=(MEMORIES,)):
             for key, ids in zip(batch.column("doc_id").to_pylist(), memory.texts(batch.column("text")), strict=True):
                 keys.append(key)
                 held.append(ids + closing)

@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
-from quern.llm import bpe, exact_dedup, language, licenses, near_dedup, packing, quality, simple8b, token_store, topk, urls
+from quern.llm import batches, bpe, exact_dedup, language, licenses, near_dedup, packing, pieces, quality, simple8b, token_store, topk, urls
 from quern.llm.queries import QUERIES, SQL
 from quern.sources.shared import shared_path
 
@@ -520,6 +522,32 @@ def test_runs_of_long_texts_are_whole(monkeypatch):
     assert all(len(r) == sum(n) for r, _, n in quality.runs(texts))
 
 
+def test_scoring_holds_one_group_at_a_time(monkeypatch):
+    """Memory while texts are scored, in multiples of a group's bytes."""
+    monkeypatch.setattr(quality, "GROUP_BYTES", 1 << 18)
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 105, 1 << 18, np.uint8).tobytes() for _ in range(4)]
+    key = np.unique(np.concatenate([(r & ((1 << 8 * k) - 1)) + (1 << 8 * k) for r, _, _ in quality.runs(texts) for k in range(quality.ORDER + 1)]))
+    adds, backs = rng.random((2, len(key)), np.float32)
+    shard = quality.Shard(rng.permutation(key), adds, backs, True)
+    quality._sums(texts[:1], shard)
+    tracemalloc.start()
+    try:
+        quality._sums(texts, shard)
+        assert tracemalloc.get_traced_memory()[1] < 24 * quality.GROUP_BYTES
+    finally:
+        tracemalloc.stop()
+
+
+def test_tables_go_when_other_tasks_begin():
+    """What a worker keeps for tasks of one kind is not held beside what the next kind needs."""
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None]})
+    pieces.memory_of(LIBRARY).texts(["a b"])
+    held = pieces.memory_of(LIBRARY)
+    assert len(list(batches.bounded(iter([batch]), uses=(pieces.MEMORIES,)))) == 1 and pieces.memory_of(LIBRARY) is held
+    assert len(list(batches.bounded(iter([batch])))) == 1 and not pieces.MEMORIES
+
+
 def test_quality_query_by_brute_force(spark, monkeypatch):
     """Perplexities, thresholds and decisions of a whole table against plain Python."""
     monkeypatch.setattr(quality, "FEWEST", 8)
